@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import chat, media, quality, secrets
+from edgeloom.llm import chat, media, packing, quality, secrets
 from edgeloom.llm.common import table
 
 
@@ -24,5 +24,9 @@ def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template)}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template, op6_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
