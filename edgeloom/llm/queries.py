@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import chat, media, neardup, packing, quality, secrets
+from edgeloom.llm import chat, media, neardup, packing, quality, secrets, sharding
 from edgeloom.llm.common import table
 
 
@@ -32,5 +32,9 @@ def op3_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template, op6_best_fit_packing, op3_minhash_circulant)}
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template, op6_best_fit_packing, op3_minhash_circulant, op10_hilbert_shards)}
 ORACLE_SQL: dict[str, str] = {}
