@@ -37,10 +37,13 @@ class Ids:
     go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -55,10 +58,33 @@ class Ids:
             if len(known) + len(new) > self.most:
                 known.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+            for at in range(0, len(new), 1000):
+                self.learn(new[at : at + 1000])
         return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
 
+    def learn(self, words: list[str]) -> None:
+        """The ids of words, from one call: a word's last token, and no other, bears the mark of a word's end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            for w in words:
+                self.known[w] = np.array(self.direct(w), np.uint32).tobytes()
+            return
+        data, start = ids.tobytes(), 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.known[w] = data[start:end]
+            start = end
+
+
+def _ids(path: str) -> Ids:
+    """The Ids of this Python worker: what one task has learnt serves the next."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_edgeloom_ids", {})
+    if path not in held:
+        held[path] = Ids(path)
+    return held[path]
+
 
 def _tokenizer_path() -> str:
     import public_tokenizers
@@ -73,7 +99,7 @@ def _pieces(batches, path: str | None, capacity: int):
     ids_of = None
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in rows_by_bytes(batches):
-        ids_of = ids_of or Ids(path or _tokenizer_path())
+        ids_of = ids_of or _ids(path or _tokenizer_path())
         rows: list[list] = [[] for _ in _PIECES]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = ids_of(text).tobytes() + b"\0\0\0\0"
