@@ -1,35 +1,39 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees.
 
 The trees are grown on a bounded sample; every vector is then routed to one leaf of each. A query walks all trees
-through one priority queue of nodes, ordered by the cosine between the query and the node's mean, until the leaves it
-popped hold enough vectors. Their vectors are reranked exactly, in double precision.
+through one priority queue of nodes, ordered by the best inner product between the query and the mean of a leaf below,
+until the leaves it popped hold enough vectors. Their vectors are reranked exactly, in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import cut
 
-TREES = 3
+TREES = 4
 #: most vectors that the trees are grown on, about; and how many of them a leaf keeps
-SAMPLE = 24_000
+SAMPLE = 60_000
 LEAF = 16
 #: vectors in one block of leaves, about
-BLOCK = 4096
+BLOCK = 2048
+#: queries that one product is made with
+CHUNK = 256
 TOP = 20
 
 
 def candidates_for(n: int) -> int:
-    """How many candidates a query looks at among n vectors: fewer than in proportion, all of a few."""
-    return int(min(n, max(600, 12 * n**0.65)))
+    """How many vectors the leaves that a query pops hold together, one found by several trees counted for each: a share
+    that falls as n grows, but all of a few."""
+    return int(max(4000, 3.5 * n**0.78))
 
 
 def grow(x: np.ndarray, seed: int, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -84,23 +88,303 @@ def route(tree: dict, x: np.ndarray) -> np.ndarray:
         at[inner] = tree["left"][node] + (np.einsum("ij,ij->i", x[inner], tree["w"][node]) >= tree["t"][node])
 
 
-def search(trees: list[dict], sizes: list[np.ndarray], query: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(tree, leaf node) of the leaves that one priority queue over all trees pops until they hold `most` vectors.
+def leaves_in_order(tree: dict) -> list[int]:
+    """The leaf nodes from left to right, so that neighbours in the list are near in space."""
+    out, stack = [], [0]
+    while stack:
+        node = stack.pop()
+        left = int(tree["left"][node])
+        if left < 0:
+            out.append(node)
+        else:
+            stack += [left + 1, left]
+    return out
 
-    A vector may be counted once a tree, so the bound is on `most` vectors of every tree together, times the trees.
-    """
-    near = [t["mean"] @ query.astype(np.float32) for t in trees]
-    queue = [(-float(s[0]), k, 0) for k, s in enumerate(near)]
+
+def blocks_of(trees: list[dict], sizes: list[np.ndarray], most: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each tree, each node's first block and number of blocks: neighbouring leaves share a block of about `most`
+    vectors, a larger leaf has several blocks, between which its vectors are dealt by hash."""
+    out, free = [], 0
+    for tree, size in zip(trees, sizes, strict=True):
+        first, many, held = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0
+        free += 1
+        for node in leaves_in_order(tree):
+            n = int(size[node])
+            if not n:
+                continue
+            if held and held + n > most:
+                free, held = free + 1, 0
+            first[node], many[node] = free, max(1, -(-n // most))
+            held += n
+            if many[node] > 1:
+                free, held = free + int(many[node]), 0
+        free += 1
+        out.append((first, many))
+    return out
+
+
+def bounds_of(tree: dict, size: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """For each node the largest inner product between the query and the mean of a leaf below it; empty leaves have none."""
+    near = tree["mean"] @ query.astype(np.float32)
+    near[(tree["left"] < 0) & (size == 0)] = -np.inf
+    for inner in reversed(tree["levels"]):
+        left = tree["left"][inner]
+        near[inner] = np.maximum(near[left], near[left + 1])
+    return near
+
+
+def search(trees: list[dict], sizes: list[np.ndarray], query: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(tree, leaf node) of the leaves that one priority queue over all trees pops until they hold `most` vectors."""
+    bound = [bounds_of(t, s, query) for t, s in zip(trees, sizes, strict=True)]
+    queue = [(-float(b[0]), k, 0) for k, b in enumerate(bound)]
     heapq.heapify(queue)
     out, held = [], 0
     while queue and held < most:
         _, k, node = heapq.heappop(queue)
-        left = trees[k]["left"][node]
+        left = int(trees[k]["left"][node])
         if left < 0:
             if sizes[k][node]:
                 out.append((k, node))
                 held += int(sizes[k][node])
         else:
-            for child in (left, left + 1):
-                heapq.heappush(queue, (-float(near[k][child]), k, int(child)))
+            heapq.heappush(queue, (-float(bound[k][left]), k, left))
+            heapq.heappush(queue, (-float(bound[k][left + 1]), k, left + 1))
+    return out
+
+
+def _levels(left: np.ndarray) -> list[np.ndarray]:
+    """The inner nodes, level by level from the root."""
+    out, at = [], np.array([0])
+    while len(at := at[left[at] >= 0]):
+        out.append(at)
+        at = np.concatenate([left[at], left[at] + 1])
     return out
+
+
+def with_means(tree: dict, total: np.ndarray, size: np.ndarray) -> dict:
+    """The tree with the means of all vectors in place of the sample's: total and size are given for its leaves."""
+    tree = tree | {"levels": _levels(tree["left"])}
+    tree["mean"] = (total / np.maximum(size, 1)[:, None]).astype(np.float32)
+    return tree
+
+
+def _clean(batches, width: int):
+    """Usable vectors: (id, float64 bytes); those null, zero, of another width or with null or non-finite parts go."""
+    for batch in batches:
+        column = batch.column(1)
+        lengths = pa.compute.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero((lengths == width) & np.asarray(pa.compute.is_valid(batch.column(0))))
+        x = pa.compute.list_flatten(column.take(pa.array(rows))).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[ok])), pa.array([r.tobytes() for r in x[ok] + 0.0], pa.binary())], ["id", "v"])
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+
+
+def _totals(batches, trees: list[dict], width: int):
+    """For each leaf that this partition's vectors reach: their number and sum."""
+    size = [np.zeros(len(t["left"]), np.int64) for t in trees]
+    total = [np.zeros((len(t["left"]), width)) for t in trees]
+    for batch in batches:
+        x = _matrix(batch.column(0), width)
+        for k, tree in enumerate(trees):
+            at = route(tree, x)
+            size[k] += np.bincount(at, minlength=len(size[k]))
+            np.add.at(total[k], at, x)
+    for k in range(len(trees)):
+        used = np.flatnonzero(size[k])
+        yield pa.RecordBatch.from_pydict({"tree": pa.array([k] * len(used), pa.int32()), "leaf": pa.array(used, pa.int32()), "n": size[k][used], "total": pa.array([r.tobytes() for r in total[k][used]], pa.binary())})
+
+
+_ROW = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("leaves", pa.binary()), ("key", pa.int64()), ("v", pa.binary()), ("ids", pa.binary())])
+
+
+def _deal_vectors(batches, trees: list[dict], blocks: list, width: int):
+    for batch in batches:
+        keys, vs = batch.column(0), batch.column(1)
+        ids = [np.array(i, np.int64).tobytes() for i in batch.column(2).to_pylist()]
+        x, n = _matrix(vs, width), batch.num_rows
+        for k, tree in enumerate(trees):
+            at = route(tree, x)
+            first, many = blocks[k]
+            block = first[at] + (keys.to_numpy(zero_copy_only=False).view(np.uint64) % many[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(n, np.int32)), pa.array([b.tobytes() for b in at.astype(np.int32)], pa.binary()), keys, vs, pa.array(ids, pa.binary())], schema=_ROW)
+
+
+def _deal_queries(batches, trees: list[dict], sizes: list[np.ndarray], blocks: list, width: int, most: int):
+    for batch in batches:
+        vs = batch.column(1)
+        out: list[tuple] = []
+        for key, v, x in zip(batch.column(0).to_pylist(), vs.to_pylist(), _matrix(vs, width), strict=True):
+            found: dict[int, list[int]] = {}
+            for k, leaf in search(trees, sizes, x, most):
+                first, many = int(blocks[k][0][leaf]), int(blocks[k][1][leaf])
+                for b in range(first, first + many):
+                    found.setdefault(b, []).append(leaf)
+            out += [(b, 1, np.array(leaves, np.int32).tobytes(), key, v, b"") for b, leaves in found.items()]
+            if len(out) > 5000:
+                yield _packed(out)
+                out = []
+        yield _packed(out)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in _ROW]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+
+
+def nearest_of(scores: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` best (score, id), best first, ties to the smaller id; an id that comes twice counts once."""
+    order = np.lexsort((ids, -scores))
+    scores, ids = scores[order], ids[order]
+    _, first = np.unique(ids, return_index=True)
+    keep = np.sort(first)[:most]
+    return scores[keep], ids[keep]
+
+
+def _score(batches, width: int, most: int):
+    """Rows sorted by (block, role): first the vectors of a block, then, in chunks, its queries, each with its leaves.
+
+    Out comes, for each query and block, the best `most` (score, id) as bytes.
+    """
+    block, leaf, vs, ids, ready, waiting = None, [], [], [], None, []
+
+    def scored():
+        nonlocal ready
+        if ready is None:
+            v = np.frombuffer(b"".join(vs), np.float64).reshape(-1, width)
+            lists = [np.frombuffer(i, np.int64) for i in ids]
+            leaves, place = np.unique(np.frombuffer(b"".join(leaf), np.int32), return_inverse=True)
+            ready = (v, lists, leaves, place.ravel(), np.array([x[0] for x in lists], np.int64))
+        v, lists, leaves, place, least = ready
+        q = np.frombuffer(b"".join(w[1] for w in waiting), np.float64).reshape(-1, width)
+        s = q @ v.T
+        for (key, _, own), row, x in zip(waiting, s, q, strict=True):
+            mine = np.isin(leaves, np.frombuffer(own, np.int32))[place]
+            at = np.flatnonzero(mine)
+            r = row[at]
+            if len(r) > most:  # rounding aside, the best `most` and whatever ties with the last of them
+                edge = np.partition(r, len(r) - most)[len(r) - most]
+                at = at[r >= edge - 1e-9 * max(1.0, abs(edge))]
+            exact = np.add.reduce(v[at] * x, axis=1)  # the same sum in whatever block
+            if len(at) > 4 * most:
+                order = np.lexsort((least[at], -exact))[:most]
+                at, exact = at[order], exact[order]
+            best, who = nearest_of(np.repeat(exact, [len(lists[i]) for i in at]), np.concatenate([lists[i] for i in at]) if len(at) else np.zeros(0, np.int64), most)
+            yield key, best.tobytes() + who.tobytes()
+
+    def out():
+        rows = list(scored())
+        waiting.clear()
+        return pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.int64()), "found": pa.array([r[1] for r in rows], pa.binary())})
+
+    for batch in batches:
+        for b, role, leaves, key, v, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != block:
+                if waiting:
+                    yield out()
+                block, leaf, vs, ids, ready = b, [], [], [], None
+            if role == 0:
+                leaf.append(leaves)
+                vs.append(v)
+                ids.append(own)
+            else:
+                waiting.append((key, v, leaves))
+                if len(waiting) == CHUNK:
+                    yield out()
+    if waiting:
+        yield out()
+
+
+def _merge(batches, most: int):
+    """One row a key from rows sorted by key: the best `most` of all its blocks."""
+    current, scores, ids = None, np.zeros(0), np.zeros(0, np.int64)
+    done: list[tuple] = []
+
+    def out():
+        rows = [(k, [{"id": int(i), "score": float(s)} for s, i in zip(a, b, strict=True)]) for k, a, b in done]
+        done.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())])))], ["key", "near"]
+        )
+
+    for batch in batches:
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key != current:
+                if current is not None:
+                    done.append((current, scores, ids))
+                current, scores, ids = key, np.zeros(0), np.zeros(0, np.int64)
+            n = len(data) // 16
+            scores, ids = nearest_of(np.append(scores, np.frombuffer(data[: 8 * n], np.float64)), np.append(ids, np.frombuffer(data[8 * n :], np.int64)), most)
+        if len(done) > 2000:
+            yield out()
+    if current is not None:
+        done.append((current, scores, ids))
+    yield out()
+
+
+def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TREES, most: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vec_id divisible by `every` the `top` vectors of largest inner product that
+    the forest finds, nearest first, ties to the smaller vec_id; a query is no candidate of its own.
+
+    Vectors null, zero, or with null or non-finite components take no part, nor do those without vec_id or of another
+    width than most have; of repeated vec_ids the smallest vector counts. Fewer candidates give fewer rows, none give
+    none; other columns are ignored. `most`: vectors a query looks at (None: candidates_for their number).
+
+    Equal vectors are folded: of each only the top + 1 smallest ids can be among anyone's nearest, so a vector that is
+    a third of all rows costs one comparison a query, and as many queries are answered by one search. Trees are grown
+    on a sample of about SAMPLE vectors; all vectors are routed, and leaves know the means of all that they hold. What
+    is collected (sample, sums of leaves) is bounded by the size of the trees.
+    """
+    source = vectors.select(F.col("vec_id").cast("bigint").alias("id"), "embedding")
+    widths = source.where("embedding is not null").groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    width = widths[0]["w"] if widths else 0
+    usable = source.mapInArrow(partial(_clean, width=width), "id bigint, v binary") if width else source.select("id", F.lit(b"").alias("v")).limit(0)
+    held = cut(usable.groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.xxhash64("v")))
+    ranked = held.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("nth") <= top + 1)
+    classes = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("key").alias("key")).select("key", "v", "ids"))
+    n = classes.count()
+    out = "query_id bigint, rank int, vec_id bigint, score double"
+    if not n:
+        return held.sparkSession.createDataFrame([], out)
+    share = min(1_000_000, int(1_000_000 * SAMPLE / n) + 1)
+    sample = classes.where(F.pmod("key", F.lit(1_000_000)) < share).select("v").toArrow()
+    x = _matrix(sample.column("v"), width)
+    x = x[np.lexsort(x.T[:4])]
+    grown = [grow(x, seed) for seed in range(trees)]
+    sums = classes.select("v").mapInArrow(partial(_totals, trees=grown, width=width), "tree int, leaf int, n bigint, total binary")
+    sizes, totals = [np.zeros(len(t["left"]), np.int64) for t in grown], [np.zeros((len(t["left"]), width)) for t in grown]
+    parts = sums.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf").mapInArrow(partial(_sum_leaves, width=width), sums.schema)
+    for k, leaf, m, total in zip(*(c.to_pylist() for c in parts.toArrow().columns), strict=True):  # a row a leaf
+        sizes[k][leaf], totals[k][leaf] = m, np.frombuffer(total, np.float64)
+    grown = [with_means(t, total, size) for t, total, size in zip(grown, totals, sizes, strict=True)]
+    blocks = blocks_of(grown, sizes)
+
+    asked = held.where(F.col("id") % every == 0).select("id", "key", "v")
+    queries = classes.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
+    row = "block bigint, role int, leaves binary, key bigint, v binary, ids binary"
+    dealt = classes.mapInArrow(partial(_deal_vectors, trees=grown, blocks=blocks, width=width), row)
+    sent = queries.mapInArrow(partial(_deal_queries, trees=grown, sizes=sizes, blocks=blocks, width=width, most=most or candidates_for(n)), row)
+    both = dealt.unionByName(sent).repartition("block").sortWithinPartitions("block", "role")
+    found = both.mapInArrow(partial(_score, width=width, most=top + 1), "key bigint, found binary")
+    merged = found.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_merge, most=top + 1), "key bigint, near array<struct<id:bigint,score:double>>")
+    near = asked.select(F.col("id").alias("query_id"), "key").join(merged, "key")
+    near = near.select("query_id", F.slice(F.filter("near", lambda c: c["id"] != F.col("query_id")), 1, top).alias("near"))
+    return near.select("query_id", F.posexplode("near").alias("at", "c")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.id").alias("vec_id"), F.col("c.score").alias("score"))
+
+
+def _sum_leaves(batches, width: int):
+    current, n, total, rows = None, 0, np.zeros(width), []
+    for batch in batches:
+        for tree, leaf, m, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (tree, leaf) != current:
+                if current is not None:
+                    rows.append((*current, n, total.tobytes()))
+                current, n, total = (tree, leaf), 0, np.zeros(width)
+            n, total = n + m, total + np.frombuffer(part, np.float64)
+    if current is not None:
+        rows.append((*current, n, total.tobytes()))
+    columns = zip(*rows, strict=True) if rows else [[], [], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["tree", "leaf", "n", "total"])
