@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import chat, media, neardup, neighbours, packing, quality, repeats, secrets, sharding
+from edgeloom.llm import chat, media, neardup, neighbours, packing, pieces, quality, repeats, secrets, sharding
 from edgeloom.llm.common import table
 
 
@@ -37,12 +37,16 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_blockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept", "whole")
 
 
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template, op6_best_fit_packing, op3_minhash_circulant, op10_hilbert_shards, op4_suffix_blockwise)}
+def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template, op6_best_fit_packing, op3_minhash_circulant, op10_hilbert_shards, op4_suffix_blockwise, op7_sentencepiece_lattice)}
 ORACLE_SQL: dict[str, str] = {}
