@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df as it is; shuffle files and checkpoints that nothing refers to any more leave the executors' disks.
+
+    Spark removes them once the driver's JVM finds the objects unused, which may be long after; this asks it to look.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import _BYTE, _P, _PINV, mix64, powers
-from edgeloom.llm.common import cut, rows_by_bytes, text_of
+from edgeloom.llm.common import cut, rows_by_bytes, settle, text_of
 from edgeloom.llm.suffixes import sort_bucket
 
 LENGTH = 50
@@ -132,7 +132,8 @@ def _pack_blocks(batches):
 
 
 def _entries(batches, length: int, buckets: int):
-    """Of each block, for each bucket: anchors, surroundings, smallest doc_ids."""
+    """Of each block, for each bucket: anchors, surroundings (40 bits of the hash; with the anchor's and the bucket more
+    than 80), smallest doc_ids."""
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             b = Block(*pickle.loads(loosened(data.as_buffer().to_pybytes())), length, buckets)
@@ -143,7 +144,8 @@ def _entries(batches, length: int, buckets: int):
                 docs = b.smallest[own]
                 steps = np.diff(docs, prepend=docs[:1])
                 kind = np.uint16 if len(steps) and 0 <= steps.min() and steps.max() < 65536 else np.int64
-                rows.append(pickle.dumps((b.gram[own].tobytes(), b.around[own].tobytes(), int(docs[0]), kind is np.uint16, squeezed(steps.astype(kind).tobytes())), 5))
+                around = b.around[own]
+                rows.append(pickle.dumps((b.gram[own].tobytes(), around.astype(np.uint32).tobytes() + (around >> np.uint64(32)).astype(np.uint8).tobytes(), int(docs[0]), kind is np.uint16, squeezed(steps.astype(kind).tobytes())), 5))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "block": [block] * len(used), "data": rows})
 
 
@@ -181,7 +183,7 @@ def _shared(batches):
         docs = [np.cumsum(np.frombuffer(loosened(s), np.uint16 if short else np.int64).astype(np.int64)) + base for _, _, base, short, s in parts]
         sizes = [len(d) for d in docs]
         gram = np.frombuffer(b"".join(p[0] for p in parts), np.uint32)
-        around = np.frombuffer(b"".join(p[1] for p in parts), np.uint64)
+        around = np.concatenate([np.frombuffer(p[1][: 4 * n], np.uint32).astype(np.uint64) | np.frombuffer(p[1][4 * n :], np.uint8).astype(np.uint64) << np.uint64(32) for p, n in zip(parts, sizes, strict=True)])
         doc, source = np.concatenate(docs), np.repeat(np.arange(len(parts)), sizes)
         order = np.lexsort((source, doc, around, gram))
         g, a, d = gram[order], around[order], doc[order]
@@ -203,8 +205,9 @@ def _shared(batches):
 
 
 def _digest(ids, bounds, data: np.ndarray, cover: np.ndarray, picked, texts: bool) -> tuple:
-    """Per document: n_bytes, n_removed, n_spans, digest of what is kept (and the kept text, cut at characters)."""
-    out: list[list] = [[] for _ in range(6)]
+    """Per document: n_bytes, n_removed, n_spans, digest of what is kept (and, of changed ones, the kept text, cut at
+    characters, and the digest of the whole text)."""
+    out: list[list] = [[] for _ in range(7)]
     hit = np.add.reduceat(np.append(cover, False).astype(np.int64), bounds[:-1]) if len(bounds) > 1 else []
     for i in picked:
         s, e = int(bounds[i]), int(bounds[i + 1])
@@ -215,15 +218,13 @@ def _digest(ids, bounds, data: np.ndarray, cover: np.ndarray, picked, texts: boo
             kept = data[s:e][~own].tobytes()
         else:
             spans, kept = 0, data[s:e].tobytes()
-        text = None
-        if texts:
-            if removed:  # a character goes only if all its bytes do
-                head = (data[s:e] & 0xC0) != 0x80
-                stays = np.logical_or.reduceat(~own, np.flatnonzero(head))
-                text = data[s:e][stays[np.cumsum(head) - 1]].tobytes().decode("utf-8", "replace")
-            else:
-                text = kept.decode("utf-8", "replace")
-        for column, v in zip(out, (int(ids[i]), e - s, removed, spans, hashlib.sha256(kept).hexdigest(), text), strict=True):
+        text = whole = None
+        if texts and removed:  # a character goes only if all its bytes do
+            head = (data[s:e] & 0xC0) != 0x80
+            stays = np.logical_or.reduceat(~own, np.flatnonzero(head))
+            text = data[s:e][stays[np.cumsum(head) - 1]].tobytes().decode("utf-8", "replace")
+            whole = hashlib.md5(data[s:e]).hexdigest()
+        for column, v in zip(out, (int(ids[i]), e - s, removed, spans, hashlib.sha256(kept).hexdigest(), text, whole), strict=True):
             column.append(v)
     return tuple(out)
 
@@ -322,7 +323,7 @@ def _sort_suffixes(batches, length: int):
             yield pa.RecordBatch.from_arrays([pa.array([rows[k][0]]), pa.array([squeezed((entry[own], window[own].astype(np.int64)))], pa.binary())], ["block", "data"])
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("whole", pa.string())])
 
 
 def _loads(data: bytes):
@@ -354,10 +355,21 @@ def _results(batches):
             yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(_loads(data.as_buffer().to_pybytes()), _OUT, strict=True)], schema=_OUT).to_batches()
 
 
+def _flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
+    entries = blocks.select("block", "data").mapInArrow(partial(_entries, length=length, buckets=buckets), "bucket int, block string, data binary")
+    return cut(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "block string, bucket int, data binary"))
+
+
+def _marked(blocks: DataFrame, flags: DataFrame, length: int, buckets: int, texts: bool) -> DataFrame:
+    both = flags.select("block", F.lit(0).alias("tag"), "bucket", "data").unionByName(blocks.select("block", F.lit(1).alias("tag"), F.lit(-1).alias("bucket"), "data"))
+    return cut(both.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_mark, length=length, buckets=buckets, texts=texts), "kind int, block string, bucket int, data binary"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: documents without bytes covered by strings of `length`
-    bytes that also start in a document with a smaller doc_id. kept (only if `texts`, else null) is what remains, where
-    a character whose bytes are removed in part stays whole.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, whole: documents without bytes covered by strings of
+    `length` bytes that also start in a document with a smaller doc_id. kept, the text that remains, where a character
+    whose bytes are removed in part stays whole, and whole, the MD5 of the text as it was, are given if `texts` and
+    something is removed, and else null.
 
     Matches never cross documents and are judged on the input. Null texts are empty. Rows with one doc_id are one
     document's and do not match each other; a row without doc_id is returned as it is and removes nothing. Texts
@@ -368,19 +380,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     named = rows.where("doc_id is not null")
-    blocks = cut(named.mapInArrow(_pack_blocks, "block string, bytes bigint, data binary"))
+    blocks = settle(cut(named.mapInArrow(_pack_blocks, "block string, bytes bigint, data binary")))
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, -(-size // BUCKET))
-    entries = blocks.select("block", "data").mapInArrow(partial(_entries, length=length, buckets=buckets), "bucket int, block string, data binary")
-    flags = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "block string, bucket int, data binary")
-    both = flags.select("block", F.lit(0).alias("tag"), "bucket", "data").unionByName(blocks.select("block", F.lit(1).alias("tag"), F.lit(-1).alias("bucket"), "data"))
-    marked = cut(both.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_mark, length=length, buckets=buckets, texts=texts), "kind int, block string, bucket int, data binary"))
+    flags = settle(_flags(blocks, length, buckets))
+    marked = _marked(blocks, flags, length, buckets, texts)
+    del blocks, flags
+    settle(marked)
     suffixes = marked.where("kind = 2").select("bucket", "block", "data").repartition("bucket").sortWithinPartitions("bucket")
     found = suffixes.mapInArrow(partial(_sort_suffixes, length=length), "block string, data binary").select("block", F.lit(0).alias("tag"), "data")
     local = marked.where("kind = 3").select("block", F.lit(0).alias("tag"), "data")
     rest = found.unionByName(local).unionByName(marked.where("kind = 1").select("block", F.lit(1).alias("tag"), "data"))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, whole string"
     late = rest.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_finish, length=length, texts=texts), schema)
     early = marked.where("kind = 0").select("data").mapInArrow(_results, schema)
-    odd = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if texts else F.lit(None).cast("string")).alias("kept"))
+    odd = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("string").alias("kept"), F.lit(None).cast("string").alias("whole"))
     return early.unionByName(late).unionByName(odd)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeated strings cut out of `text` as remove_repeats says, n_chars (if there) counted anew, and all other
+    columns as they are. Rows that lose nothing, or have no doc_id, stay the same; so does the order of columns."""
+    changed = remove_repeats(docs, length, texts=True).where("kept is not null").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("kept").alias("_kept"))
+    changed = cut(changed).dropDuplicates(["_id", "_whole"])
+    own = docs.withColumn("_md5", F.md5(F.col("text").cast("string")))
+    found = own.join(changed, (own["doc_id"].cast("bigint") == F.col("_id")) & (F.col("_md5") == F.col("_whole")), "left")
+    text = F.coalesce("_kept", "text")
+    values = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
