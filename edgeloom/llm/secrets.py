@@ -130,10 +130,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every secret in `text` replaced by [secret]; null texts stay null, all other columns stay."""
-    import pandas as pd
-
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(texts):
         return texts.map(redact, na_action="ignore")
 
     return docs.withColumn(text, clean(F.col(text)))
