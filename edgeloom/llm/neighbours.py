@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees.
 
 The trees are grown on a bounded sample; every vector is then routed to one leaf of each. A query walks all trees
-through one priority queue of nodes, ordered by the best inner product between the query and the mean of a leaf below,
-until the leaves it popped hold enough vectors. Their vectors are reranked exactly, in double precision.
+through one priority queue of nodes, ordered by the best estimate for a leaf below (its mean direction, at the length of
+its longest vector), until the leaves it popped hold enough vectors. Their vectors are reranked exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ TREES = 4
 SAMPLE = 60_000
 LEAF = 16
 #: vectors in one block of leaves, about
-BLOCK = 2048
+BLOCK = 8192
 #: queries that one product is made with
 CHUNK = 256
 TOP = 20
@@ -33,7 +33,7 @@ TOP = 20
 def candidates_for(n: int) -> int:
     """How many vectors the leaves that a query pops hold together, one found by several trees counted for each: a share
     that falls as n grows, but all of a few."""
-    return int(max(4000, 3.5 * n**0.78))
+    return int(max(4000, 5.3 * n**0.7))
 
 
 def grow(x: np.ndarray, seed: int, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -123,32 +123,31 @@ def blocks_of(trees: list[dict], sizes: list[np.ndarray], most: int = BLOCK) ->
     return out
 
 
-def bounds_of(tree: dict, size: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """For each node the largest inner product between the query and the mean of a leaf below it; empty leaves have none."""
+def bounds_of(tree: dict, query: np.ndarray) -> np.ndarray:
+    """For each node the best leaf below it: inner product of the query and the leaf's mean, stretched to its longest vector."""
     near = tree["mean"] @ query.astype(np.float32)
-    near[(tree["left"] < 0) & (size == 0)] = -np.inf
+    near[tree["empty"]] = -np.inf
     for inner in reversed(tree["levels"]):
         left = tree["left"][inner]
         near[inner] = np.maximum(near[left], near[left + 1])
     return near
 
 
-def search(trees: list[dict], sizes: list[np.ndarray], query: np.ndarray, most: int) -> list[tuple[int, int]]:
+def search(trees: list[dict], sizes: list[list[int]], query: np.ndarray, most: int) -> list[tuple[int, int]]:
     """(tree, leaf node) of the leaves that one priority queue over all trees pops until they hold `most` vectors."""
-    bound = [bounds_of(t, s, query) for t, s in zip(trees, sizes, strict=True)]
-    queue = [(-float(b[0]), k, 0) for k, b in enumerate(bound)]
+    bound = [bounds_of(t, query).tolist() for t in trees]
+    queue = [(-b[0], k, 0) for k, b in enumerate(bound)]
     heapq.heapify(queue)
-    out, held = [], 0
+    pop, push, out, held = heapq.heappop, heapq.heappush, [], 0
     while queue and held < most:
-        _, k, node = heapq.heappop(queue)
-        left = int(trees[k]["left"][node])
-        if left < 0:
-            if sizes[k][node]:
-                out.append((k, node))
-                held += int(sizes[k][node])
-        else:
-            heapq.heappush(queue, (-float(bound[k][left]), k, left))
-            heapq.heappush(queue, (-float(bound[k][left + 1]), k, left + 1))
+        _, k, node = pop(queue)
+        left = trees[k]["children"][node]
+        if left >= 0:
+            push(queue, (-bound[k][left], k, left))
+            push(queue, (-bound[k][left + 1], k, left + 1))
+        elif n := sizes[k][node]:
+            out.append((k, node))
+            held += n
     return out
 
 
@@ -161,10 +160,10 @@ def _levels(left: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def with_means(tree: dict, total: np.ndarray, size: np.ndarray) -> dict:
-    """The tree with the means of all vectors in place of the sample's: total and size are given for its leaves."""
-    tree = tree | {"levels": _levels(tree["left"])}
-    tree["mean"] = (total / np.maximum(size, 1)[:, None]).astype(np.float32)
+def with_means(tree: dict, total: np.ndarray, size: np.ndarray, longest: np.ndarray) -> dict:
+    """The tree with the directions and lengths of all vectors in place of the sample's; all three are given for its leaves."""
+    tree = tree | {"levels": _levels(tree["left"]), "children": tree["left"].tolist(), "empty": np.flatnonzero((tree["left"] < 0) & (size == 0))}
+    tree["mean"] = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12) * longest[:, None]).astype(np.float32)
     return tree
 
 
@@ -184,8 +183,9 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def _totals(batches, trees: list[dict], width: int):
-    """For each leaf that this partition's vectors reach: their number and sum."""
+    """For each leaf that this partition's vectors reach: their number, sum and greatest length."""
     size = [np.zeros(len(t["left"]), np.int64) for t in trees]
+    longest = [np.zeros(len(t["left"])) for t in trees]
     total = [np.zeros((len(t["left"]), width)) for t in trees]
     for batch in batches:
         x = _matrix(batch.column(0), width)
@@ -193,9 +193,10 @@ def _totals(batches, trees: list[dict], width: int):
             at = route(tree, x)
             size[k] += np.bincount(at, minlength=len(size[k]))
             np.add.at(total[k], at, x)
+            np.maximum.at(longest[k], at, np.linalg.norm(x, axis=1))
     for k in range(len(trees)):
         used = np.flatnonzero(size[k])
-        yield pa.RecordBatch.from_pydict({"tree": pa.array([k] * len(used), pa.int32()), "leaf": pa.array(used, pa.int32()), "n": size[k][used], "total": pa.array([r.tobytes() for r in total[k][used]], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"tree": pa.array([k] * len(used), pa.int32()), "leaf": pa.array(used, pa.int32()), "n": size[k][used], "longest": longest[k][used], "total": pa.array([r.tobytes() for r in total[k][used]], pa.binary())})
 
 
 _ROW = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("leaves", pa.binary()), ("key", pa.int64()), ("v", pa.binary()), ("ids", pa.binary())])
@@ -214,13 +215,15 @@ def _deal_vectors(batches, trees: list[dict], blocks: list, width: int):
 
 
 def _deal_queries(batches, trees: list[dict], sizes: list[np.ndarray], blocks: list, width: int, most: int):
+    places = [list(zip(first.tolist(), many.tolist(), strict=True)) for first, many in blocks]
     for batch in batches:
         vs = batch.column(1)
         out: list[tuple] = []
+        held = [s.tolist() for s in sizes]
         for key, v, x in zip(batch.column(0).to_pylist(), vs.to_pylist(), _matrix(vs, width), strict=True):
             found: dict[int, list[int]] = {}
-            for k, leaf in search(trees, sizes, x, most):
-                first, many = int(blocks[k][0][leaf]), int(blocks[k][1][leaf])
+            for k, leaf in search(trees, held, x, most):
+                first, many = places[k][leaf]
                 for b in range(first, first + many):
                     found.setdefault(b, []).append(leaf)
             out += [(b, 1, np.array(leaves, np.int32).tobytes(), key, v, b"") for b, leaves in found.items()]
@@ -354,12 +357,12 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TR
     x = _matrix(sample.column("v"), width)
     x = x[np.lexsort(x.T[:4])]
     grown = [grow(x, seed) for seed in range(trees)]
-    sums = classes.select("v").mapInArrow(partial(_totals, trees=grown, width=width), "tree int, leaf int, n bigint, total binary")
-    sizes, totals = [np.zeros(len(t["left"]), np.int64) for t in grown], [np.zeros((len(t["left"]), width)) for t in grown]
+    sums = classes.select("v").mapInArrow(partial(_totals, trees=grown, width=width), "tree int, leaf int, n bigint, longest double, total binary")
+    sizes, longest, totals = [np.zeros(len(t["left"]), np.int64) for t in grown], [np.zeros(len(t["left"])) for t in grown], [np.zeros((len(t["left"]), width)) for t in grown]
     parts = sums.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf").mapInArrow(partial(_sum_leaves, width=width), sums.schema)
-    for k, leaf, m, total in zip(*(c.to_pylist() for c in parts.toArrow().columns), strict=True):  # a row a leaf
-        sizes[k][leaf], totals[k][leaf] = m, np.frombuffer(total, np.float64)
-    grown = [with_means(t, total, size) for t, total, size in zip(grown, totals, sizes, strict=True)]
+    for k, leaf, m, far, total in zip(*(c.to_pylist() for c in parts.toArrow().columns), strict=True):  # a row a leaf
+        sizes[k][leaf], longest[k][leaf], totals[k][leaf] = m, far, np.frombuffer(total, np.float64)
+    grown = [with_means(*x) for x in zip(grown, totals, sizes, longest, strict=True)]
     blocks = blocks_of(grown, sizes)
 
     asked = held.where(F.col("id") % every == 0).select("id", "key", "v")
@@ -376,15 +379,16 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TR
 
 
 def _sum_leaves(batches, width: int):
-    current, n, total, rows = None, 0, np.zeros(width), []
+    current, n, far, total, rows = None, 0, 0.0, np.zeros(width), []
     for batch in batches:
-        for tree, leaf, m, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for tree, leaf, m, longest, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (tree, leaf) != current:
                 if current is not None:
-                    rows.append((*current, n, total.tobytes()))
-                current, n, total = (tree, leaf), 0, np.zeros(width)
-            n, total = n + m, total + np.frombuffer(part, np.float64)
+                    rows.append((*current, n, far, total.tobytes()))
+                current, n, far, total = (tree, leaf), 0, 0.0, np.zeros(width)
+            n, far, total = n + m, max(far, longest), total + np.frombuffer(part, np.float64)
     if current is not None:
-        rows.append((*current, n, total.tobytes()))
-    columns = zip(*rows, strict=True) if rows else [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["tree", "leaf", "n", "total"])
+        rows.append((*current, n, far, total.tobytes()))
+    columns = zip(*rows, strict=True) if rows else [[], [], [], [], []]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["tree", "leaf", "n", "longest", "total"])
