@@ -176,16 +176,22 @@ class Lattice:
         if len(good) > 1_000_000:
             good.clear()
 
-    def encode(self, text: str) -> np.ndarray:
-        words, known = words_of(text), self.known
-        new = [w for w in set(words) if w not in known]
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The words that are new to all of them are learnt at once."""
+        lists = [words_of(t) for t in texts]
+        known = self.known
+        every = set().union(*lists)
+        new = [w for w in every if w not in known]
         if new:
             if len(known) + len(new) > self.most:
                 known.clear()
-                new = list(set(words))
+                new = list(every)
             for at in range(0, len(new), 20_000):
                 self.learn(new[at : at + 20_000])
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in lists]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, the dummy prefix dropped; ids of no piece are skipped."""
@@ -208,8 +214,7 @@ def _digest(part: pa.RecordBatch, path: str | None) -> dict:
     own = lattice(path)
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "ids_sha256", "decoded_sha256")}
     low, high = min(own.byte.values()), max(own.byte.values())
-    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-        ids = own.encode(text)
+    for doc, ids in zip(part.column(0).to_pylist(), own.encode_batch(part.column(1).to_pylist()), strict=True):
         data = ids.astype("<u4").tobytes()
         decoded = own.decode(np.frombuffer(data, "<u4"))
         n_bytes = int(((ids >= low) & (ids <= high)).sum())
