@@ -280,5 +280,5 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int = 16) -> Data
             array(array_min(filter(edges, x -> array_contains(cuts, x.s) and array_contains(cuts, x.e) and size(filter(cuts, c -> c > x.s and c < x.e)) = 1))),
             best -> if(best is null, cuts, filter(cuts, c -> c <= best.s or c >= best.e)))[0])
     """
-    ids = "transform(sequence(1, size(cuts) - 1), i -> coalesce(filter(edges, x -> x.s = cuts[i - 1] and x.e = cuts[i])[0].id, -1))"
+    ids = "transform(sequence(1, size(cuts) - 1), i -> coalesce(get(filter(edges, x -> x.s = cuts[i - 1] and x.e = cuts[i]), 0).id, -1))"
     return every.withColumn("cuts", F.expr(fold)).select("word", F.expr(ids).alias("ids"))
