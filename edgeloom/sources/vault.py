@@ -131,11 +131,11 @@ def required_fields(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "type string, field string")
 
 
-def scan_config(root: str) -> dict:
-    """exclude and directions of .fmg.toml, with defaults where it says nothing."""
+def scan_config(root: str, name: str = ".pages.toml") -> dict:
+    """exclude and directions of the store's configuration file, with defaults where it says nothing."""
     import tomllib
 
-    path = Path(root) / ".fmg.toml"
+    path = Path(root) / name
     config = tomllib.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
     return {"exclude": tuple(config.get("scan", {}).get("exclude", EXCLUDE)), "directions": config.get("fields", {}).get("direction", {})}
 

@@ -44,9 +44,14 @@ def read_config(text: str) -> Config:
 
     c = tomllib.loads(text)
     emit = c.get("emit", {})
+    sections = [v for v in c.values() if isinstance(v, dict)]
+    base = next((s for s in sections if "workspace" in s), None)
+    if base is None:
+        raise KeyError("no section names a workspace")
+    stages = next((s for s in sections if "languages" in s or "ground" in s), {})
     return Config(
-        workspace=c["codemap"]["workspace"], repos=c.get("repos", {}), services=c.get("services", {}), pages=emit.get("pages", {}), service_pages=emit.get("service_pages", {}), fanout_page=emit.get("fanout_page", "Gateway"),
-        registry=c.get("registry", {}).get("service_config", []), environments=c.get("cloud", {}).get("environments", {}), languages=tuple(c.get("stitcher", {}).get("languages", ("python", "javascript"))), ground=bool(c.get("stitcher", {}).get("ground", False)),
+        workspace=base["workspace"], repos=c.get("repos", {}), services=c.get("services", {}), pages=emit.get("pages", {}), service_pages=emit.get("service_pages", {}), fanout_page=emit.get("fanout_page", "Gateway"),
+        registry=c.get("registry", {}).get("service_config", []), environments=c.get("cloud", {}).get("environments", {}), languages=tuple(stages.get("languages", ("python", "javascript"))), ground=bool(stages.get("ground", False)),
     )
 
 

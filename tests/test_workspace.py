@@ -204,7 +204,7 @@ def test_map(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     config = ws.read_config(textwrap.dedent(f"""
-        [codemap]
+        [map]
         workspace = "{tmp_path}"
         [repos]
         app = "app"
