@@ -402,7 +402,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings cut out of `text` as remove_repeats says, n_chars (if there) counted anew, and all other
     columns as they are. Rows that lose nothing, or have no doc_id, stay the same; so does the order of columns."""
     changed = remove_repeats(docs, length, texts=True).where("kept is not null").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("kept").alias("_kept"))
-    changed = cut(changed).dropDuplicates(["_id", "_whole"])
+    changed = settle(cut(changed)).dropDuplicates(["_id", "_whole"])
     own = docs.withColumn("_md5", F.md5(F.col("text").cast("string")))
     found = own.join(changed, (own["doc_id"].cast("bigint") == F.col("_id")) & (F.col("_md5") == F.col("_whole")), "left")
     text = F.coalesce("_kept", "text")
