@@ -41,14 +41,14 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices whose texts hold about `most` bytes, one row at least."""
+def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20, rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most `rows` rows whose texts hold about `most` bytes, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start, held = 0, 0
         lengths = pa.compute.binary_length(column).to_pylist()
         for i, n in enumerate(lengths):
-            if held and held + (n or 0) > most:
+            if i > start and (held + (n or 0) > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n or 0

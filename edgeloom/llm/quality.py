@@ -184,9 +184,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
 
         raw = [t.encode() for t in texts]
         out, at, held = np.zeros(len(raw)), 0, 0
-        for i, t in enumerate(raw):  # by a few MB, so that memory follows no batch size
+        for i, t in enumerate(raw):  # by a few MB and rows, so that memory follows no batch size
             held += len(t)
-            if held > 4 << 20 or i == len(raw) - 1:
+            if held > 4 << 20 or i - at >= 2500 or i == len(raw) - 1:
                 out[at : i + 1] = scores(model, raw[at : i + 1])
                 at, held = i + 1, 0
         return pd.Series(out)

@@ -122,7 +122,7 @@ class Block:
 def _pack_blocks(batches):
     import uuid
 
-    for part in rows_by_bytes(batches, "text", BLOCK):
+    for part in rows_by_bytes(batches, "text", BLOCK, 10_000):
         ids = part.column(0).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         texts = part.column(1)
