@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm import chat, media, neardup, neighbours, packing, pieces, quality, repeats, secrets, sharding
 from edgeloom.llm.common import table
+from edgeloom.llm.oracle import ORACLE_SQL  # noqa: F401  for __spark_entry__.py
 
 
 def op2_media_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +50,3 @@ def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_media_signature, op5_secret_scan, op8_quality_fm, op9_chat_template, op6_best_fit_packing, op3_minhash_circulant, op10_hilbert_shards, op4_suffix_blockwise, op7_sentencepiece_lattice)}
-ORACLE_SQL: dict[str, str] = {}
