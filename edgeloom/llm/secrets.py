@@ -20,10 +20,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')"""
+_LITERAL = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
 _BINDING = re.compile(
     rf"""(?P<quote>["']?)(?P<name>[A-Za-z_$][\w$.-]{{0,127}})(?P=quote)(?:\s*\[\s*["'](?P<key>[\w.-]{{1,127}})["']\s*\])?"""
-    rf"""[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*(?P<value>{_LITERAL}(?:[\x20\t]*\+[\x20\t]*(?:{_LITERAL}|[A-Za-z_$][\w$.]{{0,127}}))*|[^\s"',;#(){{}}\[\]]{{1,4096}})""",
+    rf"""[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*(?P<value>{_LITERAL}(?:[\x20\t]*\+[\x20\t]*(?:{_LITERAL}|[A-Za-z_$][\w$.]{{0,127}}))*|[^\s"',;#(){{}}\[\]]++|["'])""",
     re.A,
 )
 _PART = re.compile(rf"{_LITERAL}|[A-Za-z_$][\w$.]*", re.A)
@@ -62,6 +62,8 @@ def lexed(text: str, least: float = 4.0) -> list[tuple[int, int]]:
     found = set()
     for m in _BINDING.finditer(text):
         name, value, at = m["key"] or m["name"], m["value"], m.start("value")
+        if value in ('"', "'"):  # never closed; matched so that the line is searched once only
+            continue
         if value[0] in "\"'":
             spans = []
             for p in _PART.finditer(value):

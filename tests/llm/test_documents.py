@@ -149,6 +149,13 @@ def test_lexed_secrets():
     assert secrets.redact('a password = "hunter2hunter2" b') == 'a [secret]" b' and secrets.redact("nothing here") == "nothing here"
 
 
+def test_long_secrets():
+    long = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(3200))
+    for source in (f'private_key = "{long}"', f"private_key='{long}' + 'Zz9{long}'", f"private_key={long}", f'"private_key": "{long}\\n{long}"'):
+        assert long not in secrets.redact(source) and max(e for _, e in secrets.lexed(source)) >= len(source) - 1
+    assert secrets.lexed('private_key = "' + long + "\n") == []
+
+
 def test_secrets_of_odd_rows(documents, empty):
     got = rows(secrets.scan_secrets(documents))
     by = {r["doc_id"]: r for r in got}
