@@ -45,41 +45,94 @@ def name_weight(name: str) -> int:
 
 def literal_score(value: str) -> float:
     """0 to 3 by length, character classes and entropy; placeholders and prose score 0."""
-    n = len(value)
-    if n < 6 or _PLACEHOLDER.match(value) or " " in value:
+    return _score(len(value), Counter(value), value[:24], value[-2:])
+
+
+def _score(n: int, counts: Counter, head: str, tail: str) -> float:
+    """literal_score of the value of these n characters that begins with head and ends with tail."""
+    if n < 6 or " " in counts:
+        return 0.0
+    # of a long value, the pattern asks for both ends and which characters are between them
+    if _PLACEHOLDER.match(head if n <= 24 else head[:20] + "".join(counts - Counter(head[:20]) - Counter(tail)) + tail):
         return 0.0
-    counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
+    seen = "".join(counts)
+    classes = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
     return min(1.0, n / 16) + min(1.0, entropy / 3.5) + min(1.0, (classes - 1) / 2)
 
 
+class _Value:
+    """What names are bound to: spans, and by reference what other names were bound to. Each keeps its score and is
+    reported once, so that chains like x = "a" + x + x cost no more than their text."""
+
+    __slots__ = ("parts", "reported", "counted", "scored")
+
+    def __init__(self, text: str, parts: list):
+        self.parts, self.reported, self.counted, self.scored = parts, False, None, None
+        if len(parts) > 1 and any(isinstance(p, _Value) for p in parts):  # counted now: those it refers to are
+            n, counts, heads, tails = 0, Counter(), [], []
+            for p in parts:
+                k, c, head, tail = p.count(text) if isinstance(p, _Value) else _count(text[slice(*p)])
+                n += k
+                counts.update(c)
+                heads.append(head)
+                tails.append(tail)
+            if n.bit_length() > 400:  # shares of the characters stay, beyond the precision of a score
+                counts = Counter({c: max(1, k >> n.bit_length() - 200) for c, k in counts.items()})
+                n = counts.total()
+            self.counted = n, counts, "".join(heads)[:24], "".join(tails)[-2:]
+
+    def count(self, text: str) -> tuple:
+        if self.counted is None:
+            self.counted = _count("".join(text[s:e] for s, e in self.parts))
+        return self.counted
+
+    def score(self, text: str) -> float:
+        if self.scored is None:
+            self.scored = _score(*self.count(text))
+        return self.scored
+
+    def report(self, found: set) -> None:
+        left = [self]
+        while left:
+            p = left.pop()
+            if not isinstance(p, _Value):
+                found.add(p)
+            elif not p.reported:
+                p.reported = True
+                left += p.parts
+
+
+def _count(value: str) -> tuple:
+    return len(value), Counter(value), value[:24], value[-2:]
+
+
 def lexed(text: str, least: float = 4.0) -> list[tuple[int, int]]:
     """(start, end) of the literals whose target's weight plus own score reaches `least`; a name weighs 2 at least."""
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, list[tuple[int, int]]] = {}
-    found = set()
+    bound: dict[str, _Value] = {}
+    found: set[tuple[int, int]] = set()
     for m in _BINDING.finditer(text):
         name, value, at = m["key"] or m["name"], m["value"], m.start("value")
         if value in ('"', "'"):  # never closed; matched so that the line is searched once only
             continue
         if value[0] in "\"'":
-            spans = []
+            parts = []
             for p in _PART.finditer(value):
                 if p[0][0] in "\"'":
-                    spans.append((at + p.start() + 1, at + p.end() - 1))
-                else:
-                    spans += bound.get(p[0], [])
+                    parts.append((at + p.start() + 1, at + p.end() - 1))
+                elif p[0] in bound:
+                    parts.append(bound[p[0]])
+            held = _Value(text, parts)
         else:
             stripped = value.rstrip(".,")
-            spans = bound.get(stripped) or [(at, at + len(stripped))]
-        if len(bound) < 4096 or name in bound:  # a file with more names than that is data, not code
-            bound[name] = spans[:64]
+            held = bound.get(stripped) or _Value(text, [(at, at + len(stripped))])
+        bound[name] = held
         weight = name_weight(m["name"] + "_" + m["key"] if m["key"] else name)
-        if weight >= 2 and weight + literal_score("".join(text[s:e] for s, e in spans)) >= least:
-            found.update(x for x in spans if x[1] > x[0])
-    return sorted(found)
+        if weight >= 2 and weight + held.score(text) >= least:
+            held.report(found)
+    return sorted(x for x in found if x[1] > x[0])
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:

@@ -156,6 +156,18 @@ def test_long_secrets():
     assert secrets.lexed('private_key = "' + long + "\n") == []
 
 
+def test_secrets_of_many_names_and_parts():
+    many = "".join(f"v{i} = {i}\n" for i in range(5000)) + 'k = "s3cr3tS3cr3t!"\nclient_secret = k\n'
+    assert [many[s:e] for s, e in secrets.lexed(many)] == ["s3cr3tS3cr3t!"]
+    parts = "k = " + " + ".join(f'"Ab{i}"' for i in range(100)) + "\nclient_secret = k\n"
+    assert [parts[s:e] for s, e in secrets.lexed(parts)] == [f"Ab{i}" for i in range(100)]
+    grown = 'x = "s3cr3tS3cr3t!"\n' + 'x = "a" + x + x\n' * 20000 + "client_secret = x\n"
+    assert len(secrets.lexed(grown)) == 20001
+    for value in ("your-" + "k" * 40, "x" * 40, "<" + "a b" * 20 + ">", "${" + "Ab1" * 20 + "}", "%(" + "Ab1" * 20 + ")s"):
+        assert secrets.literal_score(value) == 0
+    assert secrets.literal_score("your-" + "k" * 40 + "-") > 0 and secrets.literal_score("${" + "Ab1" * 20) > 2
+
+
 def test_secrets_of_odd_rows(documents, empty):
     got = rows(secrets.scan_secrets(documents))
     by = {r["doc_id"]: r for r in got}
