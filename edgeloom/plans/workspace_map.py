@@ -27,7 +27,7 @@ class Map:
 def build(spark: SparkSession, config: ws.Config, now: str, env: str | None = None, facts: DataFrame | None = None, live: tuple[DataFrame, DataFrame] | None = None, heads: DataFrame | None = None) -> Map:
     """facts: grounding facts by id (src_repo, target_service and endpoint family joined by |). live: nodes and edges of a
     snapshot to reconcile with. heads: repo, head (else read from the work trees)."""
-    files = ws.source_files(spark, config.workspace, config.repos)
+    files = ws.source_files(spark, config.workspace, config.repos, named=tuple(config.registry))
     heads = ws.heads(spark, config.workspace, config.repos) if heads is None else heads
     registry = files.where(F.col("rel").isin([f"{r}" for r in config.registry])) if config.registry else files.limit(0)
     services = ws.registry_services(registry)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Endings of files that a survey reads, and the largest that it reads.
 SCANNED = (".py", ".js", ".ts", ".tsx", ".jsx", ".mjs", ".cjs", ".go", ".rb", ".java", ".kt", ".rs", ".yaml", ".yml", ".toml", ".json", ".txt", ".md", ".tf", ".tfvars")
 LARGEST = 1_000_000
+# Endings of files that an extractor reads, wherever they are and of any size; each skips folders of its own.
+EXTRACTED = (".py", ".js", ".ts", ".tf", ".tfvars")
 
 
 @dataclass
@@ -55,25 +57,48 @@ def read_config(text: str) -> Config:
     )
 
 
-def source_files(spark: SparkSession, workspace: str, repos: dict[str, str], suffixes: tuple[str, ...] = SCANNED, largest: int = LARGEST) -> DataFrame:
-    """repo, rel (repository/path), text, by Spark's reader: each file is one row, hidden and oversized files are left out.
-
-    Names without an ending (Dockerfile, Makefile) come too.
+def listed(root: str, suffixes: tuple[str, ...] = SCANNED, largest: int = LARGEST) -> list[tuple[str, bool, bool]]:
+    """(relative path, surveyed, extracted) of the files below root, in order. A survey leaves out oversized files and
+    folders that are hidden, begin with _ or are node_modules; names without an ending (Dockerfile, Makefile) are in it."""
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+    out = []
+    for folder, _, names in os.walk(root):
+        inner = os.path.relpath(folder, root).replace(os.sep, "/")
+        parts = [] if inner == "." else inner.split("/")
+        pruned = any(p.startswith((".", "_")) or p == "node_modules" for p in parts)
+        for name in names:
+            path = os.path.join(folder, name)
+            if os.path.isfile(path):
+                surveyed = not pruned and ("." not in name or name.endswith(suffixes)) and os.path.getsize(path) <= largest
+                extracted = name.endswith(EXTRACTED) or (len(parts) < 2 and name.startswith("cloudbuild") and name.endswith(".yaml"))
+                out.append(("/".join([*parts, name]), surveyed, extracted))
+    return sorted(out)
+
+
+def source_files(spark: SparkSession, workspace: str, repos: dict[str, str], suffixes: tuple[str, ...] = SCANNED, largest: int = LARGEST, named: tuple[str, ...] = ()) -> DataFrame:
+    """repo, rel (repository/path), text, surveyed: each file that a survey or an extractor reads, or that `named` holds
+    by its rel, is one row. surveyed: whether the survey's rules keep it.
+
+    Spark's own readers never list names that begin with _ or ., so the driver walks the folders; they must be such that
+    every executor can open them.
     """
-    parts = []
+    rows = []
     for repo, folder in sorted(repos.items()):
         root = f"{workspace.rstrip('/')}/{folder.strip('/')}"
-        raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-        path = F.col("_metadata.file_path")
-        rel = F.substring_index(path, f"/{folder.strip('/')}/", -1)
-        known = rel.rlike("(" + "|".join(re.escape(s) for s in suffixes) + r")$") | ~F.substring_index(rel, "/", -1).contains(".")
-        hidden = F.exists(F.split(rel, "/"), lambda p: p.startswith(".") | p.startswith("_") | (p == "node_modules"))
-        small = F.col("_metadata.file_size") <= largest
-        parts.append(raw.where(small & known & ~hidden).select(F.lit(repo).alias("repo"), F.concat(F.lit(f"{repo}/"), rel).alias("rel"), F.col("value").alias("text")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows += [(repo, f"{repo}/{rel}", f"{root}/{rel}", surveyed) for rel, surveyed, extracted in listed(root, suffixes, largest) if surveyed or extracted or f"{repo}/{rel}" in named]
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(r["path"], "rb") as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"repo": [r["repo"]], "rel": [r["rel"]], "text": [text], "surveyed": [r["surveyed"]]})
+
+    paths = spark.createDataFrame(rows, "repo string, rel string, path string, surveyed boolean")
+    return paths.repartition(max(1, -(-len(rows) // 500))).mapInArrow(read, "repo string, rel string, text string, surveyed boolean")
 
 
 def registry_services(files: DataFrame) -> DataFrame:

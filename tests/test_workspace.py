@@ -231,6 +231,22 @@ def test_map(spark, tmp_path):
     assert [r["ok"] for r in got] == [True, True]
 
 
+def test_files_of_extractors_are_not_those_of_a_survey(spark, tmp_path):
+    call = 'import httpx\ndef f(client):\n    client.get("https://bitbucket.org/x")\n'
+    script = 'fetch("https://bitbucket.org/x");\n'
+    kept = {"a/__init__.py": call, "a/_client.py": call, "a/_inner/x.py": call, "a/.hidden/x.py": call, "a/big.py": "#" * 1_100_000 + "\n" + call, "a/__tests__/t.js": script}
+    rest = {"a/tests/x.py": call, "a/__pycache__/x.py": call, "a/node_modules/x.js": script, "a/.git/HEAD": "ref", "a/_inner/x.json": "{}", "a/large.json": "1" * 1_100_000, "a/Dockerfile": "FROM x"}
+    for rel, text in (kept | rest).items():
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text(text)
+    config = ws.Config(str(tmp_path), {"a": "a"}, languages=("python", "javascript"))
+    heads = spark.createDataFrame([("a", "abc1234", None)], "repo string, head string, error string")
+    assert {r["src_file"] for r in workspace_map.build(spark, config, "2024-01-01T00:00:00Z", heads=heads).sites.collect()} == set(kept)
+    files = {r["rel"]: r["surveyed"] for r in ws.source_files(spark, config.workspace, config.repos).select("rel", "surveyed").collect()}
+    assert {f for f, surveyed in files.items() if surveyed} == {"a/__init__.py", "a/_client.py", "a/tests/x.py", "a/Dockerfile"}
+    assert not {"a/.git/HEAD", "a/_inner/x.json", "a/large.json"} & set(files)
+
+
 def test_gate_and_classes(spark):
     e = spark.createDataFrame([("a", "http-call"), ("b", "dynamic"), ("c", "http-call")], "id string, kind string")
     facts = spark.createDataFrame([("a", False), ("b", True)], "id string, resolves boolean")
