@@ -175,8 +175,8 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
 def _shared(batches):
     """One bucket of anchors at a time: which entries of which block repeat an earlier document's.
 
-    1: another block has the entry with a smaller doc_id. 2, 3: this is the entry's first document, and other
-    documents have the anchor in other surroundings (3: in HOT or more).
+    1: another block has the entry with a smaller doc_id. 2, 3: this is the entry's first document (in each block that
+    holds rows of it), and other documents have the anchor in other surroundings (3: in HOT or more).
     """
     for (bucket,), rows in _runs(batches, 1):
         parts = [pickle.loads(data) for _, data in rows]
@@ -193,7 +193,7 @@ def _shared(batches):
         of, at = np.cumsum(anchor) - 1, np.flatnonzero(anchor)
         kinds = np.add.reduceat(entry.astype(np.int64), at)
         mixed = (np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at)) & (kinds > 1)
-        flag = np.where(d > least, 1, np.where(entry & mixed[of], np.where(kinds[of] >= HOT, 3, 2), 0)).astype(np.uint8)
+        flag = np.where(d > least, 1, np.where(mixed[of], np.where(kinds[of] >= HOT, 3, 2), 0)).astype(np.uint8)
         found = np.zeros(len(order), np.uint8)
         found[order] = flag
         at = 0

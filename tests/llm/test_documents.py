@@ -108,6 +108,18 @@ def test_repeats_of_odd_rows(documents, empty):
     assert repeats.cut_repeats(documents).columns == documents.columns and repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeated_rows_of_one_document_lose_the_same(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    x = "".join(chr(97 + i * i % 23) for i in range(60))
+    rest = ["".join(chr(48 + (i * k + i // 7) % 75) for i in range(90)) for k in (3, 5, 11, 13)]
+    three, seven = rest[0] + "!" + x + "!" + rest[1], rest[2] + "?" + x + "?" + rest[3]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(3, three), (7, seven), (7, seven), (7, seven)], 4), "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_removed"]) for r in rows(repeats.remove_repeats(docs))]
+    assert got == [(3, 0)] + [(7, 60)] * 3
+    assert [r["text"] for r in rows(repeats.cut_repeats(docs))] == [three] + [rest[2] + "??" + rest[3]] * 3
+
+
 def test_removed_characters_stay_whole(spark):
     shared = "ä" * 24 + "b"  # 49 bytes; with one byte of a two-byte neighbour it makes a string of 50
     docs = spark.createDataFrame([(1, shared + "é" + "1" * 60), (2, shared + "ê" + "2" * 60)], "doc_id bigint, text string")
