@@ -14,17 +14,17 @@ MAX_VARIANTS = 4
 def resolve_hints(sites: DataFrame, hints: DataFrame, expr: str = "base_expr", generic: str = "base_url") -> DataFrame:
     """sites with service, via and confidence of the longest hint that the lower-cased expression ends with, else nulls.
 
-    hints: suffix, service, seq. Not a theta join: an expression's endings of the lengths that hints have are joined by
-    equality, so it shuffles or broadcasts like any equi-join. Hints of equal length: the earlier in the table.
+    hints: suffix, service, seq. Not a theta join: the endings of each distinct expression, of the lengths that hints
+    have, are joined by equality, and the expression's hint is joined back to its sites. Nothing identifies a site, so
+    it does not matter how sites are partitioned. Hints of equal length: the earlier in the table.
     """
     table = hints.select(F.lower("suffix").alias("_ending"), F.col("suffix").alias("_suffix"), F.col("service").alias("_service"), F.col("seq").alias("_seq")).where("_ending <> ''")
-    lengths = sorted(r["n"] for r in table.select(F.length("_ending").alias("n")).distinct().collect())  # of hint lengths
-    own = sites.withColumn("_site", F.monotonically_increasing_id())
+    lengths = table.agg(F.collect_set(F.length("_ending")).alias("_lengths"))  # one row; not more numbers than the longest hint has characters
     low = F.lower(F.coalesce(F.col(expr), F.lit("")))
-    endings = own.select("_site", low.alias("_low")).withColumn("_n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")))
-    endings = endings.where(F.length("_low") >= F.col("_n")).select("_site", F.expr("right(_low, _n)").alias("_ending"))
-    best = endings.join(table, "_ending").groupBy("_site").agg(F.max_by(F.struct("_service", "_suffix"), F.struct(F.length("_ending"), -F.col("_seq"))).alias("_h"))
-    found = own.join(best, "_site", "left")
+    distinct = sites.select(low.alias("_low")).distinct().crossJoin(F.broadcast(lengths))
+    endings = distinct.select("_low", F.explode(F.filter("_lengths", lambda n: n <= F.length("_low"))).alias("_n")).select("_low", F.expr("right(_low, _n)").alias("_ending"))
+    best = endings.join(table, "_ending").groupBy("_low").agg(F.max_by(F.struct("_service", "_suffix"), F.struct(F.length("_ending"), -F.col("_seq"))).alias("_h"))
+    found = sites.withColumn("_low", low).join(best, "_low", "left")
     return found.select(
         *sites.columns, F.col("_h._service").alias("service"), F.when(F.col("_h").isNotNull(), F.concat(F.lit("config-var "), F.col("_h._suffix"))).alias("via"),
         F.when(F.col("_h").isNotNull(), F.when(F.lower("_h._suffix") == generic, "med").otherwise("high")).alias("confidence"),

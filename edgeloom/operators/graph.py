@@ -6,23 +6,15 @@ its result is written to the checkpoint folder, so neither the plan nor a recomp
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions import text as T
+from edgeloom.operators.shared import cut
 
 MAX_DEPTH = 10
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
-    return df.checkpoint()
-
-
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
     """(src, dst) to walk along: up (what a node depends on), down (its dependants) or both."""
     forward = edges.select("src", "dst")
@@ -38,12 +30,12 @@ def of_fields(edges: DataFrame, fields: list[str] | None) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, direction: str = "both") -> DataFrame:
     """title, hop: nodes within `depth` hops (at most 10) of the roots(title), with the least number of hops."""
-    step = directed(edges, direction)
-    seen = _cut(roots.select("title").distinct().withColumn("hop", F.lit(0)))
+    step = cut(directed(edges, direction).where("src <> dst").distinct())
+    seen = cut(roots.select("title").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for hop in range(1, min(depth, MAX_DEPTH) + 1):
         reached = frontier.select(F.col("title").alias("src")).join(step, "src").select(F.col("dst").alias("title")).distinct()
-        frontier = _cut(reached.join(seen, "title", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = cut(reached.join(seen, "title", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -56,13 +48,13 @@ def bridge(edges: DataFrame, start: str, end: str, depth: int = MAX_DEPTH, direc
     Of several the one whose nodes come first in order, seen from the end: each node keeps its smallest parent.
     """
     spark = edges.sparkSession
-    step = directed(edges, direction).where("src <> dst").distinct()
-    layers = [_cut(spark.createDataFrame([(start, None)], "title string, parent string"))]
+    step = cut(directed(edges, direction).where("src <> dst").distinct())
+    layers = [cut(spark.createDataFrame([(start, None)], "title string, parent string"))]
     seen = layers[0].select("title")
     found = start == end
     while not found and len(layers) <= depth:
         reached = layers[-1].select(F.col("title").alias("src")).join(step, "src").groupBy(F.col("dst").alias("title")).agg(F.min("src").alias("parent"))
-        layer = _cut(reached.join(seen, "title", "left_anti"))
+        layer = cut(reached.join(seen, "title", "left_anti"))
         if layer.isEmpty():
             break
         layers.append(layer)

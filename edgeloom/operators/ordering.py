@@ -6,19 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from edgeloom.operators.shared import cut
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in range partitions, each sorted, with the number of its partition (_part) and its place there from 0 (_row).
+
+    They are written to the checkpoint folder with the rows, as a second run of a range shuffle would deal rows anew.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33).cast("int")).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return cut(rows.drop("_at"))
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """df with its place (from 1) in the total order of `order`, without one task that holds all rows.
 
     Rows are range-partitioned and sorted; a row's place is its place within its partition plus the rows of the
-    partitions before, of which there is one count each.
+    partitions before, of which there is one count each. Rows that tie take places in any order.
     """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33).cast("int")).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = _ranged(df, order)
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row") + 1).cast("bigint")).drop("_at", "_part", "_row", "_before")  # a row a partition
+    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row") + 1).cast("bigint")).drop("_part", "_row", "_before")  # a row a partition
 
 
 def sequential_ids(df: DataFrame, order: list[str], prefix: str, name: str = "id", digits: int = 3) -> DataFrame:
@@ -65,9 +75,19 @@ def within_budget(items: DataFrame, order: list[str], budget: int, cost: int) ->
 
 
 def running_budget(items: DataFrame, group: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """items with the running cost within their group and whether it exceeds the budget."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return items.withColumn("running", F.sum(cost).over(w)).withColumn("deferred", F.col("running") > budget)
+    """items with the running cost within their group and whether it exceeds the budget.
+
+    A group may hold most rows: it is cut into ranges of its order, each range summed by itself and raised by the
+    sums of the ranges before.
+    """
+    rows = _ranged(items, [*group, *order])
+    sums = rows.groupBy("_part", *group).agg(F.sum(cost).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")  # a row a range
+    own = rows.withColumn("_own", F.sum(cost).over(W.partitionBy("_part", *group).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)))
+    same = [F.col("_part") == F.col("_p"), *(F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group))]
+    renamed = before.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_before")
+    found = own.join(renamed, same).withColumn("running", (F.col("_own") + F.col("_before")))
+    return found.select(*items.columns, "running", (F.col("running") > budget).alias("deferred"))
 
 
 def nearest_before(lines: DataFrame, group: list[str], order: str, mark: Column, value: Column, name: str = "nearest") -> DataFrame:
