@@ -26,7 +26,8 @@ _CONTROL = re.compile(r"\\|###|</turn>")
 _NAME = re.compile(r"\\|###|</turn>|:|\n")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>)")
 _ESCAPED_NAME = re.compile(r"\\(\\|###|</turn>|:|n)")
-_TURN = re.compile(r"### ((?:[^\\:\n]|\\(?:\\|###|</turn>|:|n))*):\n((?:[^\\<]|\\(?:\\|###|</turn>)|<(?!/turn>))*)</turn>\n")
+_END = "</turn>\n"
+_STEP = re.compile(rf"\\(?:\\|###|</turn>|:|n)|{_END}")
 
 
 def escape_text(text: str) -> str:
@@ -368,8 +369,12 @@ def compile_template(template: str) -> Callable[[dict], Iterator[tuple[str, bool
 
 
 def read_turns(pieces: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str, list[str], int]]:
-    """What CHAT wrote, read back: (role, text, texts under the mask, code points) turn by turn, in bounded memory."""
-    held, mask = "", []
+    """What CHAT wrote, read back: (role, text, texts under the mask, code points) turn by turn, in bounded memory.
+
+    The end of a turn is the first terminator outside an escape, wherever pieces begin and end: escapes are stepped over
+    one by one, and what may be the beginning of one is looked at again with the next piece.
+    """
+    held, mask, at = "", [], 0
     for piece, masked in pieces:
         if masked and piece:
             if mask and mask[-1][1] == len(held):
@@ -377,15 +382,18 @@ def read_turns(pieces: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str, l
             else:
                 mask.append([len(held), len(held) + len(piece)])
         held += piece
-        while piece.endswith("</turn>\n") or "</turn>\n###" in piece:
-            if not (m := _TURN.match(held)):
+        while m := _STEP.search(held, at):
+            at = m.end()
+            if m[0][0] == "\\":
+                continue
+            line = held.find("\n")
+            if not held.startswith("### ") or held[line - 1] != ":":
                 raise TemplateError("the output cannot be read back")
-            inside = [unescape_text(held[s:e]) for s, e in mask if e <= m.end()]
-            yield unescape_name(m[1]), unescape_text(m[2]), inside, m.end()
-            mask = [[s - m.end(), e - m.end()] for s, e in mask if e > m.end()]
-            held = held[m.end() :]
-            if not held.endswith("</turn>\n"):
-                break
+            inside = [unescape_text(held[s:e]) for s, e in mask if e <= at]
+            yield unescape_name(held[4 : line - 1]), unescape_text(held[line + 1 : m.start()]), inside, at
+            mask = [[s - at, e - at] for s, e in mask if e > at]
+            held, at = held[at:], 0
+        at = max(at, len(held) - len(_END) + 1)
     if held:
         raise TemplateError("the output ends within a turn")
 

@@ -69,11 +69,15 @@ def test_templates():
             chat.compile_template(wrong)
 
 
-@pytest.mark.parametrize("text", ["", "###", "</turn>", "\\", "\\\\### Assistant:", "a</turn>\n### b:\n", "\\</turn", "##" * 3, "</tur</turn>n>"])
+@pytest.mark.parametrize("text", ["", "###", "</turn>", "\\", "\\\\### Assistant:", "a</turn>\n### b:\n", "\\</turn", "##" * 3, "</tur</turn>n>", "x</turn>\n", "x</turn>\n</turn>\n", "x</turn>\n###", "x\\", "x</turn>\\", "x</turn", "\\" * 9 + "</turn>\n", "\n", "a" * 100_000 + "</turn>\n"])
 def test_escapes_are_reversible(text):
     assert chat.unescape_text(chat.escape_text(text)) == text and chat.unescape_name(chat.escape_name(text + ":\n")) == text + ":\n"
     pieces = chat.compile_template(chat.CHAT)({"messages": [{"role": text, "text": text}, {"role": "assistant", "text": text}]})
-    assert [(r, t, "".join(i)) for r, t, i, _ in chat.read_turns(pieces)] == [(text, text, ""), ("assistant", text, text)]
+    pieces = list(pieces)
+    want = [(text, text, ""), ("assistant", text, text)]
+    assert [(r, t, "".join(i)) for r, t, i, _ in chat.read_turns(pieces)] == want
+    single = [(c, m) for p, m in pieces for c in p] if len(text) < 1000 else pieces  # pieces of one character each
+    assert [(r, t, "".join(i)) for r, t, i, _ in chat.read_turns(single)] == want
 
 
 def digests(turns):
@@ -100,6 +104,14 @@ def test_odd_conversations(spark):
     assert chat.digest_conversations(df.limit(0)).count() == 0
 
 
+def test_conversations_with_control_strings_and_many_turns(spark):
+    endings = ["ends </turn>\n", "half </tur", "\\", "### ", "\\</turn>\n"]
+    turns = {1: [("user" if k % 2 else "assistant", endings[k % 5] * (1 + k % 3)) for k in range(5_000)], 2: [("user", "z" * 3_000_000), ("assistant", "</turn>\n" * 50_000)]}
+    df = spark.createDataFrame([(c, k, r, t) for c, own in turns.items() for k, (r, t) in enumerate(own)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digest_conversations(df).collect()}
+    assert got == {c: digests(own) for c, own in turns.items()}
+
+
 def test_pipeline(spark, sf):
     """Each stage against what brute force keeps of what the stage before kept."""
     import corpus_pipeline as pipeline
