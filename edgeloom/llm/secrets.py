@@ -1,7 +1,8 @@
 """Secret scan by assignment-aware lexing.
 
-Besides three base patterns, a lexer reads source and configuration syntax as name-literal pairs, follows names that
-were bound to a literal before (and literals joined by +), and scores each literal by how sensitive its target is.
+Besides three base patterns, a lexer reads source and configuration syntax as name-literal pairs (strings of every kind,
+here-documents, indented blocks, bare words, annotated names), follows names that were bound to a literal before (and
+literals joined by + or side by side), and scores each literal by how sensitive its target is.
 """
 
 from __future__ import annotations
@@ -20,13 +21,24 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_LITERAL = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
-_BINDING = re.compile(
-    rf"""(?P<quote>["']?)(?P<name>[A-Za-z_$][\w$.-]{{0,127}})(?P=quote)(?:\s*\[\s*["'](?P<key>[\w.-]{{1,127}})["']\s*\])?"""
-    rf"""[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*(?P<value>{_LITERAL}(?:[\x20\t]*\+[\x20\t]*(?:{_LITERAL}|[A-Za-z_$][\w$.]{{0,127}}))*|[^\s"',;#(){{}}\[\]]++|["'])""",
-    re.A,
+#: a target and its operator: a name, quoted or not, perhaps with a key in brackets; a name is read from its first character only
+_TARGET = re.compile(
+    r"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)(?P<close>["'`]?)(?:[\x20\t]*\[[\x20\t]*["'](?P<key>[\w.-]++)["'][\x20\t]*\])?[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/\\]))""", re.A
 )
-_PART = re.compile(rf"{_LITERAL}|[A-Za-z_$][\w$.]*", re.A)
+_QUOTED = {
+    '"': re.compile(r'"(?P<in>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"', re.S), "'": re.compile(r"'(?P<in>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'", re.S), "`": re.compile(r"`(?P<in>[^`\\]*+(?:\\.[^`\\]*+)*+)`", re.S)
+}
+_PREFIX = re.compile(r"(?:[rRbBfFuU]{1,2}(?=[\"']))?")
+_BLANK = re.compile(r"[\x20\t]*+")
+_HEREDOC = re.compile(r"<<[-~]?[\"']?(?P<tag>[A-Za-z_]\w*)[\"']?[^\n]*\n", re.A)
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[\x20\t]*\n")
+_REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*+", re.A)
+_BARE = re.compile(r"""[^\s"',;#&(){}\[\]`]++""")
+_ANNOTATED = re.compile(r"(?:\[[^\[\]\n]*+\])?[\x20\t]*=(?!=)[\x20\t]*")
+_JOIN = re.compile(r"[\x20\t]*(?:\\?\n[\x20\t]*)?\+[\x20\t]*(?:\n[\x20\t]*)?")
+_COMMENT = re.compile(r"(?:^|(?<=[\s;]))(?:\#|//|--[\x20])", re.M)
+
+
 #: weight of a name part that says its value is a credential
 _SENSITIVE = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "accesskey": 3, "secretkey": 3,
@@ -107,31 +119,153 @@ def _count(value: str) -> tuple:
     return len(value), Counter(value), value[:24], value[-2:]
 
 
+class _Lexer:
+    """Values of bindings in source and configuration syntax: quoted, triple-quoted and template strings, here-documents,
+    indented blocks, bare words, and literals or names joined by + or side by side."""
+
+    def __init__(self, text: str):
+        self.text, self.unclosed = text, set()
+
+    def find(self, closer: str, at: int) -> int:
+        """Where the closer is, looked for once only if it does not come again."""
+        if closer in self.unclosed:
+            return -1
+        found = self.text.find(closer, at)
+        if found < 0:
+            self.unclosed.add(closer)
+        return found
+
+    def literal(self, at: int) -> tuple[int, int, int] | None:
+        """(start, end, where to go on) of the literal that begins here."""
+        text = self.text
+        at = _PREFIX.match(text, at).end()
+        mark = text[at : at + 1]
+        if mark not in _QUOTED or not mark:
+            return None
+        if mark != "`" and text.startswith(mark * 3, at):
+            end = self.find(mark * 3, at + 3)
+            if end >= 0:
+                return at + 3, end, end + 3
+        if mark == "`" and self.find(mark, at + 1) < 0:
+            return None
+        m = _QUOTED[mark].match(text, at)
+        return (m.start("in"), m.end("in"), m.end()) if m else None
+
+    def document(self, at: int, line: int) -> tuple[int, int, int] | None:
+        """A here-document or an indented block that begins on the line from `line`."""
+        text = self.text
+        if m := _HEREDOC.match(text, at):
+            end = re.compile(rf"^[\x20\t]*{m['tag']}\b", re.M)
+            found = end.search(text, m.end()) if (m["tag"], "tag") not in self.unclosed else None
+            if not found:
+                self.unclosed.add((m["tag"], "tag"))
+                return None
+            return m.end(), max(m.end(), found.start() - 1), found.end()
+        if m := _BLOCK.match(text, at):
+            indent, end = _BLANK.match(text, line).end() - line, m.end()
+            while end < len(text):
+                stop = text.find("\n", end)
+                stop = len(text) if stop < 0 else stop
+                inner = _BLANK.match(text, end, stop).end()
+                if inner < stop and inner - end <= indent:
+                    break
+                end = stop + 1
+            end = min(end, len(text))
+            start = _BLANK.match(text, m.end()).end()
+            return (start, start + len(text[start:end].rstrip()), end) if end > m.end() else None
+        return None
+
+    def value(self, at: int, line: int) -> tuple[list, int, bool] | None:
+        """(parts: spans and names, where to go on, whether a literal was among them) of the value that begins here."""
+        text = self.text
+        at = _BLANK.match(text, at).end()
+        if found := self.document(at, line):
+            return [found[:2]], found[2], True
+        parts: list = []
+        quoted = False
+        while True:
+            if found := self.literal(at):
+                parts.append(found[:2])
+                quoted, at = True, found[2]
+                again = _BLANK.match(text, at).end()
+                if self.literal(again):  # literals side by side
+                    at = again
+                    continue
+            elif quoted or parts:
+                if not (m := _REFERENCE.match(text, at)):
+                    break
+                parts.append(m[0])
+                at = m.end()
+            else:
+                m = _BARE.match(text, at)
+                if not m:
+                    return None
+                word = m[0].rstrip(".,")
+                if (name := _REFERENCE.match(word)) and (known := _ANNOTATED.match(text, at + name.end())) and known.end() > at + name.end():
+                    at = known.end()  # name: type = value
+                    if not self.literal(at) and not _BARE.match(text, at):
+                        return None
+                    continue
+                parts.append(word if _REFERENCE.fullmatch(word) else (at, at + len(word)))
+                if isinstance(parts[0], str):
+                    parts[0] = (word, at, at + len(word))
+                at = m.end()
+            if not (m := _JOIN.match(text, at)):
+                break
+            at = m.end()
+        return (parts, at, quoted) if parts else None
+
+
+def phrase_score(value: str) -> float:
+    """0 to 2 for a passphrase: three to twelve words that are no sentence."""
+    words = value.split()
+    if not 3 <= len(words) <= 12 or len(value) < 12 or value[-1] in ".!?:" or not all(w.isalnum() for w in words):
+        return 0.0
+    return min(1.0, len(value) / 16) + min(1.0, len(set(value)) / 10)
+
+
 def lexed(text: str, least: float = 4.0) -> list[tuple[int, int]]:
-    """(start, end) of the literals whose target's weight plus own score reaches `least`; a name weighs 2 at least."""
+    """(start, end) of the literals whose target's weight plus own score reaches `least`; a name weighs 2 at least.
+
+    A name stands for what it was bound to last; what a comment binds is scored, but stands for nothing.
+    """
     if "=" not in text and ":" not in text:
         return []
     bound: dict[str, _Value] = {}
     found: set[tuple[int, int]] = set()
-    for m in _BINDING.finditer(text):
-        name, value, at = m["key"] or m["name"], m["value"], m.start("value")
-        if value in ('"', "'"):  # never closed; matched so that the line is searched once only
+    lexer, line, seen, at = _Lexer(text), 0, 0, 0
+    commented = -1  # the line in which a comment has begun
+    while m := _TARGET.search(text, at):
+        name, at = m["key"] or m["name"], m.end()
+        if (fresh := text.rfind("\n", seen, m.start()) + 1) > 0:
+            line = seen = fresh
+        if line != commented and _COMMENT.search(text, max(line, seen - 2), m.start()):
+            commented = line
+        seen = m.start()
+        got = lexer.value(m.end(), line)
+        if not got:
             continue
-        if value[0] in "\"'":
-            parts = []
-            for p in _PART.finditer(value):
-                if p[0][0] in "\"'":
-                    parts.append((at + p.start() + 1, at + p.end() - 1))
-                elif p[0] in bound:
-                    parts.append(bound[p[0]])
-            held = _Value(text, parts)
-        else:
-            stripped = value.rstrip(".,")
-            held = bound.get(stripped) or _Value(text, [(at, at + len(stripped))])
-        bound[name] = held
+        pieces, end, quoted = got
+        parts: list = []
+        for p in pieces:
+            if isinstance(p, str):
+                parts += [bound[p]] if p in bound else []
+            elif len(p) == 3:
+                parts.append(bound.get(p[0]) or p[1:])
+            else:
+                parts.append(p)
+        held = parts[0] if len(parts) == 1 and isinstance(parts[0], _Value) else _Value(text, parts)
+        if line != commented:
+            bound[name] = held
         weight = name_weight(m["name"] + "_" + m["key"] if m["key"] else name)
-        if weight >= 2 and weight + held.score(text) >= least:
-            held.report(found)
+        if weight >= 2:
+            score = held.score(text)
+            if not score and weight >= 3 and quoted and len(parts) == 1 and isinstance(parts[0], tuple):
+                score = phrase_score(text[slice(*parts[0])])
+            if score and weight + score >= least:
+                held.report(found)
+        if not quoted or "\n" not in text[at:end]:  # what is within a value of one line is no binding of its own
+            at = max(at, end)
     return sorted(x for x in found if x[1] > x[0])
 
 
