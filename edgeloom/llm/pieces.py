@@ -4,7 +4,7 @@ Substrings of bounded length are exploded from the distinct words, equi-joined t
 a fold over a word's edges then finds its segmentation. The model at hand is a BPE model. The path of largest score sum
 (Viterbi) is not its segmentation, so the fold keeps, for each end, the one edge that is compatible with the edge
 before it: two pieces are if BPE leaves them as they are side by side, and of all paths only BPE's has compatible
-neighbours throughout. `encode_words` is the same in DataFrame operations, its fold a higher-order aggregate.
+neighbours throughout. `best_paths` is the lattice with Viterbi's fold in DataFrame operations, for models whose scores add up.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.bytewords import mix64
 from edgeloom.llm.common import mapped, text_of
+from edgeloom.llm.lattice import Lattice, Remembered
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: ids decoded at once
+_AT_ONCE = 1 << 18
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -52,166 +54,57 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _hash(codes: np.ndarray, before: np.ndarray | None) -> np.ndarray:
-    """The hash of a substring from that of the substring without its last character, and this."""
-    return mix64((codes if before is None else before * np.uint64(0x9E3779B97F4A7C15) + codes) + np.uint64(0x632BE59BD9B4E019))
+def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.fromiter(map(len, words), np.int64, len(words))
 
 
-class Lattice:
-    """Piece table, joined by hash to substrings; which neighbours are compatible is remembered."""
+class Pieces:
+    """Encoder and decoder of one model."""
 
     def __init__(self, path: str | None = None, most: int = 800_000):
         table = piece_table(path)
         self.byte = {int(p[3:5], 16): i for p, (i, s) in table.items() if s is None}
         plain = {p: v for p, v in table.items() if v[1] is not None}
-        self.ids = {p: i for p, (i, _) in plain.items()}
-        self.text = {i: p for p, i in self.ids.items()}
+        ids = {p: i for p, (i, _) in plain.items()}
         ranks = {s: k for k, s in enumerate(sorted({s for _, s in plain.values()}, reverse=True))}
-        self.rank = {i: ranks[s] for i, s in plain.values()}
-        self.longest = max(map(len, self.ids))
-        self.split: dict[int, tuple[int, int]] = {}
-        reached = [i for p, i in self.ids.items() if self._reached(p, i)]
-        self.known: dict[str, bytes] = {}
-        self.most = most
-        self.good: dict[int, bool] = {}
-        hashes = []
-        for i in reached:
-            h = None
-            for c in self.text[i]:
-                h = _hash(np.array([ord(c)], np.uint64), h)
-            hashes.append(h[0])
-        order = np.argsort(np.array(hashes, np.uint64))
-        self.hashes = np.array(hashes, np.uint64)[order]
-        if len(np.unique(self.hashes)) < len(self.hashes):
-            raise ValueError("two pieces share a hash")
-        self.of_hash = np.array(reached, np.int64)[order]
-
-    def _reached(self, piece: str, own: int) -> bool:
-        """Whether BPE makes the piece from its characters; its last merge is kept."""
-        parts = list(piece)
-        while len(parts) > 1:
-            best = min(((self.rank[self.ids[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ids), default=None)
-            if best is None:
-                return False
-            k = best[1]
-            if len(parts) == 2:
-                if parts[0] not in self.ids or parts[1] not in self.ids:
-                    return False
-                self.split[own] = (self.ids[parts[0]], self.ids[parts[1]])
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return True
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the pieces a and b as they are when b follows a: the merges inside are undone from the last,
-        and none across them may come before the one undone."""
-        limit = 1 << 40
-        while True:
-            joined = self.ids.get(self.text[a] + self.text[b])
-            if joined is not None and self.rank[joined] < limit:
-                return False
-            ra, rb = self.rank[a], self.rank[b]
-            left, right = a in self.split, b in self.split
-            if left and (ra > rb or not right):  # of equal merges the left is made first
-                limit, a = ra, self.split[a][1]
-            elif right:
-                limit, b = rb + 1, self.split[b][0]
-            else:
-                return True
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, start, end, piece) of every piece that occurs in the words, by word, end, start."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(len(words)), sizes)
-        ends = (first + sizes)[of]
-        at, h, found = np.arange(len(codes)), None, []
-        for n in range(1, self.longest + 1):
-            stay = at + n <= ends[at]
-            at = at[stay]
-            if not len(at):
-                break
-            h = _hash(codes[at + n - 1], h[stay] if h is not None else None)
-            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[k] == h
-            found.append((at[hit], np.full(int(hit.sum()), n), self.of_hash[k[hit]]))
-        start, n, piece = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((start, start + n))
-        start, n, piece = start[order], n[order], piece[order]
-        word = of[start]
-        return word, start - first[word], start + n - first[word], piece
-
-    def learn(self, words: list[str]) -> None:
-        word, start, end, piece = self.edges(words)
-        bounds = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-        start, end, piece = start.tolist(), end.tolist(), piece.tolist()
-        good, known = self.good, self.known
-        for k, w in enumerate(words):
-            last, back, done = [-1] * (len(w) + 1), [0] * (len(w) + 1), 0
-            last[0] = -2
-            for j in range(bounds[k], bounds[k + 1]):
-                s, e, p = start[j], end[j], piece[j]
-                if e > done + 1:
-                    for x in range(done + 1, e):  # characters without a piece
-                        last[x], back[x] = -2, x - 1
-                    done = e - 1
-                if done >= e:
-                    continue
-                before = last[s]
-                if before != -2:
-                    pair = before << 20 | p
-                    ok = good.get(pair)
-                    if ok is None:
-                        ok = good[pair] = self.compatible(before, p)
-                    if not ok:
-                        continue
-                last[e], back[e], done = p, s, e
-            for x in range(done + 1, len(w) + 1):
-                last[x], back[x] = -2, x - 1
-            ids, x = [], len(w)
-            while x:
-                ids.append([self.byte[c] for c in w[back[x] : x].encode("utf-8", "replace")] if last[x] == -2 else [last[x]])
-                x = back[x]
-            known[w] = np.array([i for own in reversed(ids) for i in own], np.uint32).tobytes()
-        if len(good) > 1_000_000:
-            good.clear()
+        merges = {(ids[p[:k]], ids[p[k:]]): (ranks[s], i) for p, (i, s) in plain.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        octet = {b: i.to_bytes(4, "little") for b, i in self.byte.items()}
+        self.words = Remembered(Lattice(ids, merges, _code_points, lambda c: b"".join([octet[b] for b in c.encode("utf-8", "replace")])), most)
+        raw = {i: p.replace(SPACE, " ").encode("utf-8", "replace") for p, i in ids.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        self.size = np.array([len(raw.get(i, b"")) for i in range(max(raw) + 1)], np.int64)
+        self.raw = np.frombuffer(b"".join(raw.get(i, b"") for i in range(max(raw) + 1)), np.uint8)
+        self.place = np.cumsum(self.size) - self.size
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. The words that are new to all of them are learnt at once."""
-        lists = [words_of(t) for t in texts]
-        known = self.known
-        every = set().union(*lists)
-        new = [w for w in every if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(every)
-            for at in range(0, len(new), 20_000):
-                self.learn(new[at : at + 20_000])
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in lists]
+        return self.words([words_of(t) for t in texts])
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, the dummy prefix dropped; ids of no piece are skipped."""
-        if not hasattr(self, "raw"):
-            self.raw = {i: p.replace(SPACE, " ").encode("utf-8", "replace") for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        return b"".join([self.raw.get(i, b"") for i in (ids.tolist() if hasattr(ids, "tolist") else ids)]).decode("utf-8", "replace").removeprefix(" ")
+        ids, out = np.asarray(ids, np.int64), []
+        ids = ids[(ids >= 0) & (ids < len(self.size))]
+        for k in range(0, len(ids), _AT_ONCE):
+            own = ids[k : k + _AT_ONCE]
+            n = self.size[own]
+            out.append(self.raw[np.arange(n.sum()) + np.repeat(self.place[own] - (np.cumsum(n) - n), n)].tobytes())
+        return b"".join(out).decode("utf-8", "replace").removeprefix(" ")
 
 
-def lattice(path: str | None = None) -> Lattice:
-    """The Lattice of this Python worker: what one task has learnt serves the next."""
+def encoder(path: str | None = None) -> Pieces:
+    """The encoder of this Python worker: what one task has learnt serves the next."""
     import sentencepiece
 
-    held = sentencepiece.__dict__.setdefault("_edgeloom_lattice", {})
+    held = sentencepiece.__dict__.setdefault("_edgeloom_pieces", {})
     if path not in held:
-        held[path] = Lattice(path)
+        held[path] = Pieces(path)
     return held[path]
 
 
 def _digest(part: pa.RecordBatch, path: str | None) -> dict:
-    own = lattice(path)
+    own = encoder(path)
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "ids_sha256", "decoded_sha256")}
     low, high = min(own.byte.values()), max(own.byte.values())
     for doc, ids in zip(part.column(0).to_pylist(), own.encode_batch(part.column(1).to_pylist()), strict=True):
@@ -240,7 +133,7 @@ def encode_column(docs: DataFrame, text: str = "text", ids: str = "ids", path: s
 
     @F.pandas_udf("array<int>")
     def run(texts):
-        own = lattice(path)
+        own = encoder(path)
         return texts.map(lambda t: own.encode(t).astype(np.int32), na_action="ignore")
 
     return docs.withColumn(ids, run(F.col(text)))
@@ -251,7 +144,7 @@ def decode_column(df: DataFrame, ids: str = "ids", text: str = "text", path: str
 
     @F.pandas_udf("string")
     def run(rows):
-        own = lattice(path)
+        own = encoder(path)
         return rows.map(lambda x: own.decode(np.asarray(x)), na_action="ignore")
 
     return df.withColumn(text, run(F.col(ids)))
@@ -261,24 +154,28 @@ def pieces_frame(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([(p, i, s) for p, (i, s) in piece_table(path).items() if s is not None], "piece string, id int, score double")
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:
-    """word, ids for each distinct non-empty word of the column `word`, in DataFrame operations only.
+def best_paths(words: DataFrame, pieces: DataFrame, byte_ids: list[int], penalty: float = 10.0) -> DataFrame:
+    """word, ids, score of the segmentation of the largest score sum of each distinct non-empty word, in DataFrame
+    operations only: Viterbi, as a model whose scores are log probabilities (a unigram model) is decoded.
 
-    Substrings of at most `longest` characters are exploded and joined to the pieces (the vocabulary: of a fixed size, so
-    it may be broadcast); a word's edges are grouped, without a further shuffle as rows are already dealt by word, and
-    a higher-order aggregate folds them: each step merges the neighbours whose joint piece has the best score, the
-    leftmost of equals. A character without a piece has the id -1.
+    Substrings as long as the longest piece at most are exploded and joined to the pieces (the vocabulary: of a fixed
+    size); a word's edges are grouped by their end without a further shuffle, as rows are dealt by word already, and a
+    higher-order aggregate keeps for each end the best path to it (of equals the one whose last piece is longer, then the
+    smaller id). A character without a piece is its UTF-8 bytes at the least score less `penalty`. Null words are left
+    out, an empty table gives no rows.
     """
-    own = words.select("word").where("word <> ''").distinct()
-    n = F.length("word")
-    spans = own.select("word", F.explode(F.sequence(F.lit(1), n)).alias("s")).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("n"))
-    spans = spans.withColumn("piece", F.expr("substring(word, s, n)"))
-    edges = spans.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.struct((-F.col("score")).alias("cost"), (F.col("s") - 1).alias("s"), (F.col("s") + F.col("n") - 1).alias("e"), "id")).alias("edges"))
-    every = own.join(edges, "word", "left").withColumn("edges", F.expr("coalesce(edges, array())"))
-    fold = """
-        aggregate(sequence(1, length(word)), sequence(0, length(word)), (cuts, step) -> transform(
-            array(array_min(filter(edges, x -> array_contains(cuts, x.s) and array_contains(cuts, x.e) and size(filter(cuts, c -> c > x.s and c < x.e)) = 1))),
-            best -> if(best is null, cuts, filter(cuts, c -> c <= best.s or c >= best.e)))[0])
-    """
-    ids = "transform(sequence(1, size(cuts) - 1), i -> coalesce(get(filter(edges, x -> x.s = cuts[i - 1] and x.e = cuts[i]), 0).id, -1))"
-    return every.withColumn("cuts", F.expr(fold)).select("word", F.expr(ids).alias("ids"))
+    facts = pieces.agg(F.max(F.length("piece")).alias("longest"), (F.min("score") - F.lit(penalty)).alias("bare"))  # one row
+    own = words.select("word").where("word <> ''").distinct().crossJoin(F.broadcast(facts))
+    starts = own.select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least("longest", F.length("word") - F.col("s")))).alias("n")).withColumn("piece", F.expr("substring(word, s + 1, n)"))
+    edges = spans.join(F.broadcast(pieces.select("piece", "id", "score")), "piece", "left").where("id is not null or n = 1")
+    octets = F.expr("transform(sequence(0, octet_length(piece) - 1), i -> byte_ids[cast(conv(hex(substring(encode(piece, 'UTF-8'), i + 1, 1)), 16, 10) as int)])")
+    edges = edges.withColumn("byte_ids", F.lit(byte_ids)).select(
+        "word", (F.col("s") + F.col("n")).alias("e"), F.struct("s", F.coalesce("score", "bare").cast("double").alias("score"), F.when(F.col("id").isNull(), octets).otherwise(F.array("id")).alias("ids")).alias("edge")
+    )
+    ends = edges.repartition("word").groupBy("word", "e").agg(F.collect_list("edge").alias("edges")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("e", "edges"))).alias("ends"))
+    fold = """aggregate(ends, array(named_struct('loss', cast(0 as double), 'back', 0, 'ids', cast(array() as array<int>))), (best, x) ->
+        concat(best, array(array_min(transform(x.edges, g -> named_struct('loss', best[g.s].loss - g.score, 'back', g.s, 'ids', g.ids))))))"""
+    walk = """aggregate(ends, named_struct('at', size(ends), 'ids', cast(array() as array<array<int>>)), (w, x) ->
+        if(w.at = 0, w, named_struct('at', best[w.at].back, 'ids', concat(array(best[w.at].ids), w.ids))), w -> flatten(w.ids))"""
+    return ends.withColumn("best", F.expr(fold)).select("word", F.expr(walk).alias("ids"), (-F.expr("best[size(ends)].loss")).alias("score"))

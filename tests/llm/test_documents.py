@@ -180,6 +180,43 @@ def test_secrets_of_many_names_and_parts():
     assert secrets.literal_score("your-" + "k" * 40 + "-") > 0 and secrets.literal_score("${" + "Ab1" * 20) > 2
 
 
+S = "aB3$kk9QzL0pX8w"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f"token: str = \"{S}\"", [S]),
+        (f"client_secret = \"\"\"{S}\"\"\"", [S]),
+        (f"auth_token = `{S}`", [S]),
+        (f"secret_key = <<EOF\n{S}\nEOF\n", [S]),
+        (f"private_key: |\n  {S}\nnext: 3", [S]),
+        (f'auth_token = r"{S}" "zz9"', [S, "zz9"]),
+        (f'# x = "{S}"\nauth_token = x', []),
+        (f'# auth_token = "{S}"', [S]),
+        (f'{{"authToken": "{S}"}}', [S]),
+        ('db_passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('password: "please read the rules carefully."', []),
+        ('auth_token = "' + S * 400 + '"', [S * 400]),
+        ("x" * 200 + f'_auth_token = "{S}"', [S]),
+        ("auth_token = '" + S, []),
+        ("a = `" * 3 + f'\nauth_token = "{S}"', [S]),
+        ("".join(f"k{i} = 'v{i}alue'\n" for i in range(4200)) + f"k0 = '{S}'\nauth_token = k0", [S]),
+    ],
+)
+def test_lexer(source, want):
+    assert [source[s:e] for s, e in secrets.lexed(source)] == want
+
+
+@pytest.mark.parametrize("unit", ["`", "a='", 'a="""', "a=<<E\n", "a: |\n", "a=b+", "a.b-", "# a=\n", "a=x[b=x[", "a='x' + ", "x = x + x\n", 'a="b" '])
+def test_lexer_takes_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    secrets.lexed(unit * (400_000 // len(unit)))
+    assert time.process_time() - began < 10
+
+
 def test_secrets_of_odd_rows(documents, empty):
     got = rows(secrets.scan_secrets(documents))
     by = {r["doc_id"]: r for r in got}
@@ -288,18 +325,33 @@ def test_pieces_are_those_of_the_library(spark, sf, texts):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].replace("▁", " ").encode()).hexdigest()
 
 
-def test_pieces_in_dataframe_operations(spark, texts):
-    words = sorted({w for t in texts.values() for w in pieces.words_of(t)})[::9] + ["▁▁▁▁▁x", "aaaa", "日①"]
-    frame = spark.createDataFrame([(w,) for w in words + words[:3]], "word string")
-    got = {r["word"]: r["ids"] for r in pieces.encode_words(frame, pieces.pieces_frame(spark)).collect()}
-    own = pieces.Lattice()
-    low, high = min(own.byte.values()), max(own.byte.values())
+def test_best_paths_are_those_of_brute_force(spark, texts):
+    words = sorted({w for t in texts.values() for w in pieces.words_of(t)})[::29] + ["▁▁▁▁▁x", "aaaa", "日①", "a" * 70]
+    frame = spark.createDataFrame([(w,) for w in [*words, *words[:3], None, ""]], "word string")
+    table = {p: v for p, v in pieces.piece_table().items() if v[1] is not None}
+    own = pieces.Pieces()
+    got = {r["word"]: r for r in pieces.best_paths(frame, pieces.pieces_frame(spark), [own.byte[b] for b in range(256)]).collect()}
+    bare = min(s for _, s in table.values()) - 10
     assert set(got) == set(words)
     for w in words:
-        want = own.encode_batch([w[1:].replace("▁", " ")])[0].tolist() if w.startswith("▁") else None
-        if want is not None and not any(low <= i <= high for i in want):
-            assert got[w] == want
-    assert -1 in got["日①"]
+        best = [0.0]
+        for e in range(1, len(w) + 1):
+            paths = [best[s] + table[w[s:e]][1] for s in range(max(0, e - 16), e) if w[s:e] in table]
+            best.append(max([*paths, *([] if w[e - 1] in table else [best[e - 1] + bare])]))
+        assert got[w]["score"] == pytest.approx(best[-1]) and own.decode(got[w]["ids"]) == w.replace("▁", " ").removeprefix(" ")
+    assert pieces.best_paths(frame.limit(0), pieces.pieces_frame(spark), list(range(256))).count() == 0
+
+
+def test_pieces_of_long_runs():
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rng = np.random.default_rng(5)
+    run = "".join(rng.choice(list("abcdenstio日é"), 100_000).tolist())
+    own = pieces.Pieces(most=200)
+    odd = [run, run[:65], run[:64], "a" * 1000, " " * 300 + "x", "\u2581 \u2581", "日①" * 40, "", "x" * 64 + " " + "x" * 65, "\ud83d\ude00"[:0] + "😀é\n\t"]
+    for text, ids in zip(odd, own.encode_batch(odd), strict=True):
+        assert ids.tolist() == p.encode(text) and own.decode(ids) == text.replace("\u2581", " ")
 
 
 def test_pieces_of_odd_rows(spark, documents, empty):
