@@ -21,15 +21,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import cut, rows_by_bytes, text_of
+from edgeloom.llm.lattice import Lattice, Remembered
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
+#: mark of a token that ends a word
+END = "</w>"
 
 _SAFE = re.compile("[^\\s!-~¡-¬®-ÿŒœ–—‘’“”…€]", re.A)
-_ODD = re.compile("[ªº²³¹¼½¾İ\x1c-\x1f]|<\\|")
+_ODD = re.compile("[ªº²³¹¼½¾İ\x1c-\x1f]")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+class _ByteLattice(Lattice):
+    """Symbols are the bytes of a word; its last one, which ends the word, counts 256 more."""
+
+    def size_of(self, word: str) -> int:
+        return len(word.encode())
+
+
+def _bytes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [w.encode() for w in words]
+    codes, sizes = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), np.fromiter(map(len, raw), np.int64, len(raw))
+    codes[np.cumsum(sizes) - 1] += np.uint64(256)
+    return codes, sizes
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte -> the byte: printable Latin-1 stands for itself, all
+    others for the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+
 class Ids:
     """Token ids of texts, word by word: the pre-tokenizer of word_bpe_49k splits words, and a word's ids never depend on its neighbours.
 
@@ -37,43 +61,39 @@ class Ids:
     go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
+        import json
+
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def direct(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> np.ndarray:
-        if _SAFE.search(text) or _ODD.search(text):
-            return np.array(self.direct(text), np.uint32)
-        words = _WORDS.findall(text.lower())
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 1000):
-                self.learn(new[at : at + 1000])
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        """The ids of words, from one call: a word's last token, and no other, bears the mark of a word's end."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
-            for w in words:
-                self.known[w] = np.array(self.direct(w), np.uint32).tobytes()
-            return
-        data, start = ids.tobytes(), 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.known[w] = data[start:end]
-            start = end
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = _byte_letters()
+
+        def symbols(token: str) -> str:
+            word = token.removesuffix(END)
+            codes = [letters[c] for c in word]
+            return "".join(map(chr, codes if word == token else [*codes[:-1], codes[-1] + 256]))
+
+        ids = {symbols(t): i for t, i in model["vocab"].items() if t.removesuffix(END) and all(c in letters for c in t.removesuffix(END))}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        merges = {(model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.keys = Remembered(_ByteLattice(ids, merges, _bytes_of), most, self.split)
+
+    @staticmethod
+    def split(keys: list[str]) -> tuple[list[str], dict[str, list[str]]]:
+        """Keys have no white space. Those that are one word; and the words of all others."""
+        return [k for k in keys if k.isalpha()], {k: _WORDS.findall(k) for k in keys if not k.isalpha()}
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The words that are new to all of them are learnt at once."""
+        whole = [not t.isascii() and bool(_SAFE.search(t)) or "<|" in t or bool(_ODD.search(t)) for t in texts]
+        found = self.keys([[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)])
+        return [self.direct(t) if w else ids for t, w, ids in zip(texts, whole, found, strict=True)]
 
 
 def _ids(path: str) -> Ids:
@@ -101,8 +121,8 @@ def _pieces(batches, path: str | None, capacity: int):
     for batch in rows_by_bytes(batches):
         ids_of = ids_of or _ids(path or _tokenizer_path())
         rows: list[list] = [[] for _ in _PIECES]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = ids_of(text).tobytes() + b"\0\0\0\0"
+        for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+            data = ids.tobytes() + b"\0\0\0\0"
             n = len(data) // 4
             for piece, start in enumerate(range(0, n, capacity)):
                 length = min(capacity, n - start)
