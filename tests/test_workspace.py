@@ -5,7 +5,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.extract import javascript_source, python_source, terraform
+from edgeloom.extract import hcl, javascript_source, python_source, terraform
 from edgeloom.operators import coupling, edges, evaluation, graph, inventory
 from edgeloom.plans import workspace_map
 from edgeloom.sources import workspace as ws
@@ -143,6 +143,44 @@ def test_javascript_calls():
     assert not any("commented" in r["target_endpoint"] for r in rows) and not any(r["src_line"] == 7 for r in rows)
 
 
+FORMS = """
+import x from "y"; // axios.get("/gone")
+const HOST: string = "https://api.bitbucket.org/2.0";
+const PATH = `${HOST}/repos`;
+await this.client.get<Row[]>(PATH);
+got.post('/a');  https.request("https://github.com/x");
+foo().fetch("/no");  myclient.get("/no");
+fetch(
+  `/v1/${a.b({ c: 1 })}/x`);
+/* fetch("/gone") */ axios("/yes");
+const s = "fetch('/string')"; // fetch("/gone")
+"""
+
+
+def test_javascript_forms():
+    rows = javascript_source.call_sites("web", "web/tests/b.ts", FORMS, {})
+    found = [(r["src_line"], r["kind"], r["target_service"], r["target_endpoint"]) for r in rows]
+    assert [f for f in found if f[0] == 5] == [(5, "http-call", "Bitbucket", "/repos")] and (6, "dynamic", "(dynamic)", "/a") in found
+    assert (8, "dynamic", "(dynamic)", "/v1/{a.b({ c: 1 })}/x") in found and (10, "dynamic", "(dynamic)", "/yes") in found
+    assert {f[0] for f in found} == {5, 6, 8, 10} and all(r.get("prov_rank", 2) == 2 for r in rows)
+
+
+def test_blocks():
+    tree = hcl.parse('a = "x-${var.n}" # c\nb "l" {\n c = [1, "}", var.q[0].z] /* } */\n d { e = var.x == "y" ? "p" : q.r\n }\n f = <<T\n}\nT\n g = 2\n}\n}\nz = 1\n')
+    (block,) = tree.blocks
+    assert tree.attributes["a"].value == ("text", ["x-", ("ref", "var.n")]) and tree.attributes["z"].line == 12
+    assert block.attributes["c"].value == ("list", [("plain", "1"), ("text", ["}"]), ("ref", "var.q[0].z")]) and block.attributes["g"].line == 9
+    assert block.find("e") == ("if", ("op", "==", ("ref", "var.x"), ("text", ["y"])), ("text", ["p"]), ("ref", "q.r")) and block.find("none") is None
+    for source in ("", "a", "a =", "a = [", "b {", '"', "x = ${", "a = <<E\n", "}" * 5, "b = {{{", "f = g(", "a = 1 ? 2"):
+        hcl.parse(source)
+
+
+def test_nested_locals():
+    source = 'variable "e" { default = "dev" }\nlocals {\n a = "x-${var.e}"\n b = "${local.a}-y"\n c = local.d\n d = local.c\n}\nresource "google_pubsub_topic" "t" { name = local.b }\nresource "google_pubsub_topic" "u" { name = local.c }\nresource "google_pubsub_topic" "v" { name = var.e == "dev" ? "yes" : "no" }\n'
+    found = terraform.Repository("r", {"r/m.tf": hcl.parse(source)}, {}).nodes
+    assert [n["name"] for n in found] == ["x-dev-y", "(unset:local.c)", "yes"]
+
+
 def test_collections(spark):
     files = spark.createDataFrame([("a", "a/m.ts", MODELS), ("b", "b/s.py", STORE), ("b", "b/tests/s.py", STORE), ("a", "a/m.test.ts", MODELS)], "repo string, rel string, text string")
     access = python_source.scan_access(files).unionByName(javascript_source.scan_models(files)).withColumn("seq", F.monotonically_increasing_id())
