@@ -41,3 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what cut(df) wrote. Call it on a frame that nothing will read again."""
+    spark = df.sparkSession
+    held = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if held.isDefined():
+        delete(spark, held.get())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
