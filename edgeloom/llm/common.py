@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.operators.shared import cut, delete, discard, shared_folder  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder; its lineage ends there.
-
-    The folder is the session's spark.checkpoint.dir; a local one is set only where that is unset (tests).
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
-    return df.checkpoint()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df as it is; shuffle files and checkpoints that nothing refers to any more leave the executors' disks.
-
-    Spark removes them once the driver's JVM finds the objects unused, which may be long after; this asks it to look.
-    """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest doc_id stays, one row a doc_id. Rows
     without doc_id, which nothing can name, all stay."""
-    kept = cut(near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct())
+    kept = cut(near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct())
     own = docs["doc_id"].cast("bigint")
-    named = docs.join(kept, own == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, own == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(own.isNull()))

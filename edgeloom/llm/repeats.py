@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import _BYTE, _P, _PINV, mix64, powers
-from edgeloom.llm.common import cut, rows_by_bytes, settle, text_of
+from edgeloom.llm.common import cut, discard, rows_by_bytes, text_of
 from edgeloom.llm.suffixes import sort_bucket
 
 LENGTH = 50
@@ -116,7 +116,12 @@ class Block:
         self.smallest = ids[self.doc[self.first]]  # runs are in the order of doc_id
         bucket = (gram & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
         self.order = np.lexsort((self.first, bucket))
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.buckets, edges = np.unique(bucket[self.order], return_index=True)  # those that the block has entries in
+        self.edges = np.append(edges, len(bucket))
+
+    def entries_of(self, bucket: int) -> np.ndarray:
+        k = int(np.searchsorted(self.buckets, bucket))
+        return self.order[self.edges[k] : self.edges[k + 1]]
 
 
 def _pack_blocks(batches):
@@ -137,9 +142,9 @@ def _entries(batches, length: int, buckets: int):
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             b = Block(*pickle.loads(loosened(data.as_buffer().to_pybytes())), length, buckets)
-            used = np.flatnonzero(np.diff(b.edges)).tolist()
+            used = b.buckets.tolist()
             rows = []
-            for k in used:
+            for k in range(len(used)):
                 own = b.order[b.edges[k] : b.edges[k + 1]]
                 docs = b.smallest[own]
                 steps = np.diff(docs, prepend=docs[:1])
@@ -247,7 +252,7 @@ def _mark(batches, length: int, buckets: int, texts: bool):
         b = Block(*pickle.loads(loosened(data)), length, buckets)
         flag = np.zeros(len(b.first), np.uint8)
         for k, v in flags.items():
-            flag[b.order[b.edges[k] : b.edges[k + 1]]] = np.frombuffer(loosened(v), np.uint8)
+            flag[b.entries_of(k)] = np.frombuffer(loosened(v), np.uint8)
         own, of_doc = flag[b.entry], b.ids[b.doc]
         full = (own == 1) | (of_doc > b.smallest[b.entry])
         part = (own >= 2) & (of_doc == b.smallest[b.entry])
@@ -278,9 +283,11 @@ def _mark(batches, length: int, buckets: int, texts: bool):
                 w_e = np.repeat(entries[hot], size[hot])
                 w_win = np.concatenate([np.arange(n) for n in size[hot].tolist()])
                 w_at = np.repeat(lo[hot], size[hot]) + w_win
-                hashes = np.array([int.from_bytes(hashlib.blake2b(b.data[i : i + length].tobytes(), digest_size=8).digest(), "little") >> 1 for i in w_at.tolist()], np.int64)
-                order = np.lexsort((b.smallest[w_e], hashes))
-                lead = starts_of(hashes[order])
+                bytes_of = [b.data[i : i + length].tobytes() for i in w_at.tolist()]
+                hashes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") >> 1 for x in bytes_of], np.int64)
+                same = np.unique(np.frombuffer(b"".join(bytes_of), f"V{length}"), return_inverse=True)[1].ravel()  # equal bytes, not only hashes
+                order = np.lexsort((b.smallest[w_e], same))
+                lead = starts_of(same[order])
                 first = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
                 later = b.smallest[w_e[order]] > b.smallest[w_e[first]]
                 gone = order[later]
@@ -380,13 +387,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     named = rows.where("doc_id is not null")
-    blocks = settle(cut(named.mapInArrow(_pack_blocks, "block string, bytes bigint, data binary")))
+    blocks = cut(named.mapInArrow(_pack_blocks, "block string, bytes bigint, data binary"))
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, -(-size // BUCKET))
-    flags = settle(_flags(blocks, length, buckets))
+    flags = _flags(blocks, length, buckets)
     marked = _marked(blocks, flags, length, buckets, texts)
-    del blocks, flags
-    settle(marked)
+    discard(blocks)
+    discard(flags)
     suffixes = marked.where("kind = 2").select("bucket", "block", "data").repartition("bucket").sortWithinPartitions("bucket")
     found = suffixes.mapInArrow(partial(_sort_suffixes, length=length), "block string, data binary").select("block", F.lit(0).alias("tag"), "data")
     local = marked.where("kind = 3").select("block", F.lit(0).alias("tag"), "data")
@@ -401,10 +408,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings cut out of `text` as remove_repeats says, n_chars (if there) counted anew, and all other
     columns as they are. Rows that lose nothing, or have no doc_id, stay the same; so does the order of columns."""
-    changed = remove_repeats(docs, length, texts=True).where("kept is not null").select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("kept").alias("_kept"))
-    changed = settle(cut(changed)).dropDuplicates(["_id", "_whole"])
-    own = docs.withColumn("_md5", F.md5(F.col("text").cast("string")))
-    found = own.join(changed, (own["doc_id"].cast("bigint") == F.col("_id")) & (F.col("_md5") == F.col("_whole")), "left")
-    text = F.coalesce("_kept", "text")
-    values = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
+    changed = remove_repeats(docs, length, texts=True).where("kept is not null").select(F.struct(F.col("doc_id").alias("id"), F.col("whole").alias("md5")).alias("key"), "kept")
+    changed = cut(changed).dropDuplicates(["key"])
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").cast("bigint").alias("id"), F.md5(F.col("text").cast("string")).alias("md5")).alias("key"))  # no name of docs can clash
+    found = held.join(changed, "key", "left")
+    values = {"text": F.coalesce("kept", "row.text")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(values.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
