@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import cut, text_of
+from edgeloom.llm.common import cut, discard, text_of
 
 SHARDS = 24
 BITS = 6
 OVERHEAD = 8
+#: share of a shard up to which equal texts are kept together
+WHOLE = 0.05
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -97,8 +99,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Dimensions: language and source (hashed to 6 bits) and the logarithm of the size, taken for a group of equal texts
     as a whole (the smallest language and source in it), so that equal texts are neighbours; order within a cell is by
-    text digest and doc_id. A group no larger than the largest document stays in one shard (the one that holds its
-    middle); larger groups are cut where the bytes say, so no group, however frequent, makes a shard uneven.
+    text digest and doc_id. A group of equal texts stays in one shard (the one that holds its middle) up to WHOLE of a
+    shard's bytes, or the size of the largest document if that is more; what is larger is cut where the bytes say, as
+    otherwise shards could not be near equal.
 
     Null texts have size 8 and make one group with empty texts; null languages and sources count as empty, a null
     doc_id comes first in its group; repeated rows take slots of their own; an empty table gives no rows; other
@@ -115,10 +118,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cells = [F.pmod(F.xxhash64("lang"), F.lit(1 << BITS)), F.pmod(F.xxhash64("source"), F.lit(1 << BITS)), F.floor(F.log2(F.col("size")) * 2)]
     groups = groups.select(*key, "copies", quantised(cells).alias("cell"))
     keyed = rows.select("doc_id", "text_crc32", *key).join(groups, key).select("cell", *key, "doc_id", "text_crc32", "copies")
-    ordered = cut(placed(keyed, ["cell", *key, "doc_id", "text_crc32"]))
+    sorted_rows = placed(keyed, ["cell", *key, "doc_id", "text_crc32"])
+    ordered = cut(sorted_rows)
+    discard(rows)
     whole = ordered.agg(F.sum("size").alias("all"), F.max("size").alias("largest")).first()
     target = max(1.0, (whole["all"] or 0) / shards)
-    small = F.col("copies") * F.col("size") <= F.lit(whole["largest"] or 0)
+    small = F.col("copies") * F.col("size") <= F.lit(max(WHOLE * target, whole["largest"] or 0))
     starts = ordered.where(small & (F.col("copies") > 1)).groupBy(*key).agg(F.min("before").alias("start"))
     middle = F.coalesce(F.col("start") + F.col("copies") * F.col("size") / 2, F.col("before") + F.col("size") / 2)
     cutting = ordered.join(starts, key, "left").withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.lit(target))).cast("int"))
