@@ -199,7 +199,7 @@ def _totals(batches, trees: list[dict], width: int):
         yield pa.RecordBatch.from_pydict({"tree": pa.array([k] * len(used), pa.int32()), "leaf": pa.array(used, pa.int32()), "n": size[k][used], "longest": longest[k][used], "total": pa.array([r.tobytes() for r in total[k][used]], pa.binary())})
 
 
-_ROW = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("leaves", pa.binary()), ("key", pa.int64()), ("v", pa.binary()), ("ids", pa.binary())])
+_ROW = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("leaves", pa.binary()), ("key", pa.binary()), ("v", pa.binary()), ("ids", pa.binary())])
 
 
 def _deal_vectors(batches, trees: list[dict], blocks: list, width: int):
@@ -207,10 +207,11 @@ def _deal_vectors(batches, trees: list[dict], blocks: list, width: int):
         keys, vs = batch.column(0), batch.column(1)
         ids = [np.array(i, np.int64).tobytes() for i in batch.column(2).to_pylist()]
         x, n = _matrix(vs, width), batch.num_rows
+        spread = np.frombuffer(b"".join(k[:8] for k in keys.to_pylist()), np.uint64)
         for k, tree in enumerate(trees):
             at = route(tree, x)
             first, many = blocks[k]
-            block = first[at] + (keys.to_numpy(zero_copy_only=False).view(np.uint64) % many[at].astype(np.uint64)).astype(np.int64)
+            block = first[at] + (spread % many[at].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(n, np.int32)), pa.array([b.tobytes() for b in at.astype(np.int32)], pa.binary()), keys, vs, pa.array(ids, pa.binary())], schema=_ROW)
 
 
@@ -281,7 +282,7 @@ def _score(batches, width: int, most: int):
     def out():
         rows = list(scored())
         waiting.clear()
-        return pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.int64()), "found": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.binary()), "found": pa.array([r[1] for r in rows], pa.binary())})
 
     for batch in batches:
         for b, role, leaves, key, v, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -310,7 +311,7 @@ def _merge(batches, most: int):
         rows = [(k, [{"id": int(i), "score": float(s)} for s, i in zip(a, b, strict=True)]) for k, a, b in done]
         done.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())])))], ["key", "near"]
+            [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())])))], ["key", "near"]
         )
 
     for batch in batches:
@@ -345,7 +346,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TR
     widths = source.where("embedding is not null").groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
     width = widths[0]["w"] if widths else 0
     usable = source.mapInArrow(partial(_clean, width=width), "id bigint, v binary") if width else source.select("id", F.lit(b"").alias("v")).limit(0)
-    held = cut(usable.groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.xxhash64("v")))
+    held = cut(usable.groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.unhex(F.md5("v"))))  # 128 bits stand for a vector
     ranked = held.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("nth") <= top + 1)
     classes = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("key").alias("key")).select("key", "v", "ids"))
     n = classes.count()
@@ -353,7 +354,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TR
     if not n:
         return held.sparkSession.createDataFrame([], out)
     share = min(1_000_000, int(1_000_000 * SAMPLE / n) + 1)
-    sample = classes.where(F.pmod("key", F.lit(1_000_000)) < share).select("v").toArrow()
+    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < share).select("v").toArrow()
     x = _matrix(sample.column("v"), width)
     x = x[np.lexsort(x.T[:4])]
     grown = [grow(x, seed) for seed in range(trees)]
@@ -367,12 +368,12 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TR
 
     asked = held.where(F.col("id") % every == 0).select("id", "key", "v")
     queries = classes.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
-    row = "block bigint, role int, leaves binary, key bigint, v binary, ids binary"
+    row = "block bigint, role int, leaves binary, key binary, v binary, ids binary"
     dealt = classes.mapInArrow(partial(_deal_vectors, trees=grown, blocks=blocks, width=width), row)
     sent = queries.mapInArrow(partial(_deal_queries, trees=grown, sizes=sizes, blocks=blocks, width=width, most=most or candidates_for(n)), row)
     both = dealt.unionByName(sent).repartition("block").sortWithinPartitions("block", "role")
-    found = both.mapInArrow(partial(_score, width=width, most=top + 1), "key bigint, found binary")
-    merged = found.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_merge, most=top + 1), "key bigint, near array<struct<id:bigint,score:double>>")
+    found = both.mapInArrow(partial(_score, width=width, most=top + 1), "key binary, found binary")
+    merged = found.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_merge, most=top + 1), "key binary, near array<struct<id:bigint,score:double>>")
     near = asked.select(F.col("id").alias("query_id"), "key").join(merged, "key")
     near = near.select("query_id", F.slice(F.filter("near", lambda c: c["id"] != F.col("query_id")), 1, top).alias("near"))
     return near.select("query_id", F.posexplode("near").alias("at", "c")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.id").alias("vec_id"), F.col("c.score").alias("score"))
