@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import neardup, packing, quality, repeats, secrets
-from edgeloom.llm.common import table
+from edgeloom.llm.common import delete, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +50,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents. Each result is written as Parquet in the shared checkpoint folder (the
-    warehouse, if none is set) and read again as the next stage's documents."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    top = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to the documents. Each result is written as Parquet in the shared checkpoint folder and read
+    again as the next one's documents; it is deleted when the next is written, so only the last one stays.
+
+    Null texts count as empty, rows without doc_id are kept as they are by the stages that compare documents, repeated
+    rows are copies of each other, an empty table gives an empty result, and further columns pass through all stages but
+    the last, whatever their names.
+    """
+    top = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{top}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
