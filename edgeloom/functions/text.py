@@ -136,12 +136,30 @@ def word_match(text: Column | str, word: str) -> Column:
     return _c(text).rlike(rf"(?<!\w){re.escape(word)}(?!\w)")
 
 
+# Words that mark what is still to be written.
+PLACEHOLDERS = ("TBD", "TODO", "FIXME", "XXX", "PLACEHOLDER", "COMING SOON")
+PLACEHOLDER = rf"(?i)\b(?:{'|'.join(PLACEHOLDERS)})\b"
+#: an angle-bracketed token of three characters or more; one of several words or choices was left over from a template
+TOKEN = r"(?i)<[a-z][a-z0-9 _|/.-]{2,}>"
+LEFT_OVER = r"(?i)<[a-z](?=[a-z0-9_/.-]*[ |])[a-z0-9 _|/.-]{2,}>"
+
+
 def has_placeholder(text: Column | str) -> Column:
-    return _c(text).rlike(r"(?i)\b(TBD|TODO|FIXME|XXX)\b")
+    return _c(text).rlike(PLACEHOLDER)
 
 
 def has_template_token(text: Column | str) -> Column:
-    return _c(text).rlike(r"<[a-z][a-z0-9 _-]*>")
+    """Whether a value holds any angle-bracketed token."""
+    return _c(text).rlike(TOKEN)
+
+
+def placeholders_in(text: Column | str) -> Column:
+    return F.regexp_extract_all(_c(text), F.lit(PLACEHOLDER), 0)
+
+
+def template_tokens_in(text: Column | str) -> Column:
+    """Tokens of several words or choices; a single word in angle brackets is prose, as in a URL pattern."""
+    return F.regexp_extract_all(_c(text), F.lit(LEFT_OVER), 0)
 
 
 def flags_in(text: Column | str) -> Column:

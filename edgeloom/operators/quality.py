@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,10 +10,20 @@ from edgeloom.functions import text as T
 from edgeloom.operators import graph
 
 SEVERITIES = ("error", "warn", "info")
-# Page types that folders imply.
+# Checks, in their order; page types that folders imply; fields required of all pages and of each type where
+# the store has no schemas of its own.
+CHECKS = ("schema", "links", "orphans", "staleness", "types", "sections")
 FOLDER_TYPES = {
-    "services": "service", "components": "component", "apis": "api", "data-stores": "data-store", "infrastructure": "infrastructure", "runbooks": "runbook", "decisions": "decision", "concepts": "concept",
+    "services": "service", "apis": "api", "components": "component", "data-stores": "data-store", "infrastructure": "infrastructure", "runbooks": "runbook",
+    "external": "external-service", "touch-points": "touch-points", "deployed": "deployed-node",
 }
+REQUIRED_OF_ALL = ("title", "type", "status", "summary", "updated")
+REQUIRED_OF_TYPE = {
+    "service": ("repo", "depends_on", "part_of"), "api": ("part_of",), "component": ("part_of",), "data-store": (), "infrastructure": (), "runbook": (), "external-service": ("status",), "touch-points": ("part_of",),
+    "deployed-node": ("node_kind", "declaration_source"),
+}
+# Exit codes.
+PASSED, FAILED, NOTHING_ASSESSED, MISUSED = 0, 1, 3, 4
 # Fields that hold coarse links.
 LINK_FIELDS = ("depends_on", "part_of", "related_to", "documented_by", "supersedes", "owner")
 
@@ -23,11 +33,21 @@ def finding(df: DataFrame, check: str, severity: str | Column, message: Column,
     return df.select(F.lit(check).alias("check"), severity.alias("severity"), F.col("rel").alias("page"), message.alias("message"), (F.lit(None).cast("int") if line is None else line.cast("int")).alias("line"))
 
 
-def check_schema(pages: DataFrame, required: DataFrame) -> DataFrame:
-    """Missing frontmatter, title or type, types that are template tokens, and required(type, field) that are missing.
+def required_fields(spark: SparkSession, declared: DataFrame | None = None) -> DataFrame:
+    """type, field: what a store's own schemas declare(type, field); types without one have the fallback sets."""
+    fallback = spark.createDataFrame([(t, f) for t, own in REQUIRED_OF_TYPE.items() for f in dict.fromkeys((*REQUIRED_OF_ALL, *own))], "type string, field string")
+    if declared is None:
+        return fallback
+    return declared.select("type", "field").unionByName(fallback.join(declared.select("type").distinct(), "type", "left_anti"))
+
+
+def check_schema(pages: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """Missing frontmatter, title or type, types that are template tokens, and required(type, field) that are missing;
+    without `required` the fallback sets are.
 
     Pages have fm map<string,string>; a field that is there but empty counts as missing.
     """
+    required = required_fields(pages.sparkSession) if required is None else required
     fm = pages.where("fm_present and parse_error is null")
     none = finding(pages.where("not fm_present"), "schema", "error", F.lit("no frontmatter"))
     unreadable = finding(pages.where("parse_error is not null"), "schema", "error", F.concat(F.lit("unreadable frontmatter: "), F.col("parse_error")))
@@ -92,7 +112,8 @@ def lines_of(pages: DataFrame) -> DataFrame:
 
 
 def check_sections(pages: DataFrame) -> DataFrame:
-    """Headings with nothing below (but for a deeper heading, and on skeleton pages), placeholders and template tokens."""
+    """Headings with nothing below (but for a deeper heading, and on skeleton pages); each placeholder, in code fences too;
+    each template token outside them."""
     lines = lines_of(pages)
     text = lines.where("level is null").where(F.trim("text") != "")
     heads = lines.where("level is not null")
@@ -100,11 +121,12 @@ def check_sections(pages: DataFrame) -> DataFrame:
     marks = heads.select("rel", "line", "level", "text", "curation", F.lit(True).alias("h")).unionByName(text.select("rel", "line", F.lit(None).cast("int").alias("level"), "text", "curation", F.lit(False).alias("h")))
     after = marks.withColumn("_next_h", F.lead("h").over(w)).withColumn("_next_level", F.lead("level").over(w))
     bare = after.where("h and coalesce(curation, '') <> 'skeleton' and (_next_h is null or (_next_h and _next_level <= level))")
-    open_ = lines.where(~F.col("fenced"))
+    left = lines.select("rel", "line", F.explode(T.placeholders_in("text")).alias("found"))
+    tokens = lines.where(~F.col("fenced")).select("rel", "line", F.explode(T.template_tokens_in("text")).alias("found"))
     parts = [
         finding(bare, "sections", "error", F.concat(F.lit("empty section: "), F.trim("text")), F.col("line")),
-        finding(open_.where(T.has_placeholder("text")), "sections", "error", F.lit("placeholder text"), F.col("line")),
-        finding(open_.where(T.has_template_token("text")), "sections", "error", F.lit("template token"), F.col("line")),
+        finding(left, "sections", "error", F.concat(F.lit("placeholder "), F.col("found")), F.col("line")),
+        finding(tokens, "sections", "error", F.concat(F.lit("template token "), F.col("found")), F.col("line")),
     ]
     return _all(parts)
 
@@ -128,6 +150,33 @@ def outcome(findings: DataFrame, assessed: DataFrame) -> DataFrame:
     return n.join(bad, how="cross").withColumn("status", F.when(F.col("assessed") == 0, "nothing-assessed").when(F.col("errors") > 0, "red").otherwise("green"))  # one row each
 
 
+def selected(check: str = "all") -> tuple[str, ...]:
+    """The checks that a comma-separated list names; an unknown name is an error."""
+    wanted = CHECKS if check == "all" else tuple(c.strip() for c in check.split(","))
+    if unknown := [c for c in wanted if c not in CHECKS]:
+        raise ValueError(f"no such check: {', '.join(unknown)} (there are {', '.join(CHECKS)})")
+    return wanted
+
+
+def lint(findings: dict[str, DataFrame], check: str = "all") -> DataFrame:
+    """The findings of the selected checks, of those given by name."""
+    chosen = [findings[c] for c in selected(check) if c in findings]
+    if not chosen:
+        raise ValueError("none of the selected checks was run")
+    return _all(chosen)
+
+
+def exit_code(findings: DataFrame, assessed: DataFrame, fail_on: str = "error") -> DataFrame:
+    """One row: assessed, errors, warnings, infos, code. No page assessed is never a pass; errors fail, warnings do if
+    fail_on is warn, notes never do."""
+    if fail_on not in ("error", "warn"):
+        raise ValueError(f"fail_on is error or warn, not {fail_on!r}")
+    counts = findings.agg(*(F.count_if(F.col("severity") == s).alias(n) for s, n in zip(SEVERITIES, ("errors", "warnings", "infos"), strict=True)))
+    bad = (F.col("errors") > 0) | ((F.col("warnings") > 0) if fail_on == "warn" else F.lit(False))
+    one = assessed.agg(F.count("*").alias("assessed")).join(counts, how="cross")  # one row each
+    return one.withColumn("code", F.when(F.col("assessed") == 0, NOTHING_ASSESSED).when(bad, FAILED).otherwise(PASSED))
+
+
 # Known edge types.
 EDGE_TYPES = (
     "http-call", "mcp-fanout", "dynamic", "shares-datastore", "data-store", "invokes", "subscribes-to", "publishes-to", "deploy-env", "runs-as", "in-dataset", "reads-from",

@@ -17,16 +17,16 @@ def document_pages(spark: SparkSession, sf: str) -> DataFrame:
     title = F.when(k % 11 != 0, F.concat(F.lit("Doc "), k))
     kind = F.when(k % 13 == 0, "<page type>").when(k % 7 != 0, "service")
     fm = F.map_filter(F.create_map(F.lit("title"), title, F.lit("type"), kind, F.lit("summary"), F.when(k % 3 == 0, F.col("source")), F.lit("status"), F.lit("active")), lambda n, v: v.isNotNull())
-    body = F.concat(F.lit("# Head\n"), F.when(k % 2 == 0, F.lit("text\n")).otherwise(F.lit("")), F.lit("## One\n"), F.when(k % 3 == 0, F.lit("TODO later\n")).otherwise(F.lit("fine\n")), F.lit("```\nTODO <token>\n```\n"), F.when(k % 5 == 0, F.lit("## Two\n")).otherwise(F.lit("a <token here>\n")))
+    body = F.concat(F.lit("# Head\n"), F.when(k % 2 == 0, F.lit("text\n")).otherwise(F.lit("")), F.lit("## One\n"), F.when(k % 3 == 0, F.lit("TODO later, coming soon\n")).otherwise(F.lit("see https://<service>.run\n")), F.lit("```\nTODO <token two>\n```\n"), F.when(k % 5 == 0, F.lit("## Two\n")).otherwise(F.lit("a <token here> <A|b> <ab>\n")))
     return d.select(
-        F.concat(F.when(k % 4 == 0, "apis/").otherwise("services/"), F.col("source"), F.lit("/"), k, F.lit(".md")).alias("rel"), k.alias("walk_no"), title.alias("title"), kind.alias("type"), fm.alias("fm"), (k % 17 != 0).alias("fm_present"),
+        F.concat(F.when(k % 4 == 0, "apis/").when(k % 9 == 0, "deployed/").otherwise("services/"), F.col("source"), F.lit("/"), k, F.lit(".md")).alias("rel"), k.alias("walk_no"), title.alias("title"), kind.alias("type"), fm.alias("fm"), (k % 17 != 0).alias("fm_present"),
         F.when(k % 19 == 0, "line 3").alias("parse_error"), F.when(k % 23 == 0, F.lit("soon")).when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("updated"),
         body.alias("body"), F.when(k % 29 == 0, "skeleton").alias("curation"),
     )
 
 
 _DOCS = """
-    with p as (select doc_id k, case when doc_id % 4 = 0 then 'apis/' else 'services/' end || source || '/' || doc_id || '.md' page, case when doc_id % 11 <> 0 then 'Doc ' || doc_id end title,
+    with p as (select doc_id k, case when doc_id % 4 = 0 then 'apis/' when doc_id % 9 = 0 then 'deployed/' else 'services/' end || source || '/' || doc_id || '.md' page, case when doc_id % 11 <> 0 then 'Doc ' || doc_id end title,
         case when doc_id % 13 = 0 then '<page type>' when doc_id % 7 <> 0 then 'service' end as type, doc_id % 17 <> 0 fm, case when doc_id % 19 = 0 then 'line 3' end err,
         case when doc_id % 23 = 0 then 'soon' when doc_id % 5 <> 0 then '2024-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') end updated, case when doc_id % 3 = 0 then source end summary from documents)
 """
@@ -53,15 +53,18 @@ def lint_staleness(spark: SparkSession, sf: str) -> DataFrame:
     return quality.check_staleness(document_pages(spark, sf), none, "2024-02-01T00:00:00", 20).drop("line")
 
 
-@query(_DOCS + """select 'types' as "check", 'warn' severity, page, 'type is ' || type || ', the folder implies ' || case when k % 4 = 0 then 'api' else 'service' end message from p where type is not null and type <> case when k % 4 = 0 then 'api' else 'service' end""")
+@query(_DOCS + """select 'types' as "check", 'warn' severity, page, 'type is ' || type || ', the folder implies ' || case when k % 4 = 0 then 'api' when k % 9 = 0 then 'deployed-node' else 'service' end message from p where type is not null and type <> case when k % 4 = 0 then 'api' when k % 9 = 0 then 'deployed-node' else 'service' end""")
 def lint_types(spark: SparkSession, sf: str) -> DataFrame:
     return quality.check_types(document_pages(spark, sf)).drop("line")
 
 
 _SECTIONS = """, b as (select k, page, case when k % 2 = 0 then 1 else 0 end t from p)
     select 'sections' as "check", 'error' severity, page, 'empty section: ## Two' message, 7 + t line from b where k % 5 = 0 and k % 29 <> 0
-    union all select 'sections', 'error', page, 'placeholder text', 3 + t from b where k % 3 = 0
-    union all select 'sections', 'error', page, 'template token', 7 + t from b where k % 5 <> 0"""
+    union all select 'sections', 'error', page, 'placeholder TODO', 3 + t from b where k % 3 = 0
+    union all select 'sections', 'error', page, 'placeholder coming soon', 3 + t from b where k % 3 = 0
+    union all select 'sections', 'error', page, 'placeholder TODO', 5 + t from b
+    union all select 'sections', 'error', page, 'template token <token here>', 7 + t from b where k % 5 <> 0
+    union all select 'sections', 'error', page, 'template token <A|b>', 7 + t from b where k % 5 <> 0"""
 
 
 @query(_DOCS + _SECTIONS)
@@ -69,7 +72,21 @@ def lint_sections(spark: SparkSession, sf: str) -> DataFrame:
     return quality.check_sections(document_pages(spark, sf))
 
 
-@query(_DOCS + """, f as (select 'types' c, 'warn' s from p where type is not null and type <> case when k % 4 = 0 then 'api' else 'service' end union all
+@query(_DOCS + """, q as (select k, page, unnest(['status', 'summary', 'updated', 'repo', 'depends_on', 'part_of']) field, summary from p where fm and err is null and type = 'service')
+    select 'schema' as "check", 'error' severity, page, 'missing required field ' || field message from q where field not in ('status', 'summary') or (field = 'summary' and summary is null)""")
+def lint_schema_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.check_schema(document_pages(spark, sf)).where("message like 'missing required field %'").drop("line")
+
+
+@query(_DOCS + """, f as (select 'error' s from p where not fm union all select 'warn' from p where type is not null and type <> case when k % 4 = 0 then 'api' when k % 9 = 0 then 'deployed-node' else 'service' end)
+    select (select count(*) from p) assessed, count(*) filter (s = 'error') errors, count(*) filter (s = 'warn') warnings, 0::bigint infos, case when (select count(*) from p) = 0 then 3 when count(*) filter (s in ('error', 'warn')) > 0 then 1 else 0 end code from f""")
+def lint_exit_code(spark: SparkSession, sf: str) -> DataFrame:
+    pages = document_pages(spark, sf)
+    found = {"schema": quality.finding(pages.where("not fm_present"), "schema", "error", F.lit("no frontmatter")), "types": quality.check_types(pages), "sections": quality.check_sections(pages)}
+    return quality.exit_code(quality.lint(found, "types, schema"), pages, "warn")
+
+
+@query(_DOCS + """, f as (select 'types' c, 'warn' s from p where type is not null and type <> case when k % 4 = 0 then 'api' when k % 9 = 0 then 'deployed-node' else 'service' end union all
     select 'schema', 'error' from p where not fm union all select 'schema', 'error' from p where err is not null union all select 'schema', 'error' from p where fm and err is null and title is null
     union all select 'schema', 'error' from p where fm and err is null and (type is null or type = '<page type>') union all
     select 'staleness', 'warn' from p where updated is null or updated = 'soon')
