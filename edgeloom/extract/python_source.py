@@ -212,16 +212,7 @@ class _Calls(ast.NodeVisitor):
         else:
             return
         scope = self.scope()
-        found = self.resolve(base, path, scope)
-        if base in scope.templates:
-            inner, shape = template(scope.templates[base])
-            nested = None if found else self.hints.find(inner)
-            if nested:
-                found = (nested[0], f"nested-fstring {base}", "med")
-            if not path and shape:
-                path = re.sub(r"\{(\w+)\}", lambda m: min(scope.words[m[1]]) if scope.words.get(m[1]) else m[0], shape)
-                if found and "nested-fstring" not in found[1]:
-                    found = (found[0], f"{found[1]} + nested-fstring path", found[2])
+        found, path = self.target(base, path, scope)
         if not found:
             self.add(node, kind="dynamic", target_service="(dynamic)", target_endpoint=path or "(var)", resolved_via="unresolved", confidence="low", unresolved_expr=ast.unparse(url))
             return
@@ -231,6 +222,23 @@ class _Calls(ast.NodeVisitor):
             condition = " AND ".join([*sorted(flags), *([branch] if branch else [])]) or None
             self.add(node, kind="http-call", target_service=found[0], target_endpoint=endpoint or "(var)", resolved_via=found[1], condition=condition, confidence=found[2], endpoint_expr=None if endpoint else ast.unparse(url))
 
+    def target(self, base: str | None, path: str, scope: _Scope) -> tuple[tuple[str, str, str] | None, str]:
+        """The service of a URL and its path. A name that was given a template lends its path, with holes filled by what
+        is known of them, and, to a URL without a service, the service that the template's own base hints at."""
+        found, outer = self.resolve(base, path, scope), scope.templates.get(base)
+        if outer is None:
+            return found, path
+        inner, shape = template(outer)
+        hinted = found is None and self.hints.find(inner)
+        if hinted:
+            found = (hinted[0], f"nested-fstring {base}", "med")
+        if path or not shape:
+            return found, path
+        for name, values in scope.words.items():
+            if values:
+                shape = shape.replace("{" + name + "}", min(values))
+        return (found if found is None or hinted else (found[0], f"{found[1]} + nested-fstring path", found[2])), shape
+
     def resolve(self, base: str | None, path: str, scope: _Scope) -> tuple[str, str, str] | None:
         """The ladder: a local literal URL, a hint for the name, a local setting, the literal host."""
         if base in scope.urls:

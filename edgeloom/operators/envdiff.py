@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions import text as T
+from edgeloom.operators.ordering import numbered
 from edgeloom.operators.reconcile import _sides, edge_key, node_key
 
 # Attributes that differ between environments by nature.
@@ -52,3 +53,11 @@ def compare_edges(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("status", T.kind_family("kind").alias("family")).agg(F.count("*").alias("n"))
+
+
+def ordered(compared: DataFrame) -> DataFrame:
+    """What differs, with its place in the report: what only a has, what only b has, then what differs, each by kind and
+    name, whatever the order of the input."""
+    part = F.when(F.col("status") == "only_in_a", 0).when(F.col("status") == "only_in_b", 1).otherwise(2)
+    rows = compared.where("status <> 'identical'").withColumn("_part", part).withColumn("_kind", F.coalesce("kind", F.lit(""))).withColumn("_name", F.coalesce("name", F.lit("")))
+    return numbered(rows.withColumnRenamed("_part", "_order"), ["_order", "_kind", "_name"], "place").drop("_order", "_kind", "_name")

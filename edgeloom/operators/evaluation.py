@@ -34,23 +34,25 @@ def predicate(field: str, want) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def match(edges: DataFrame, question_id: str, expect: dict, absent: bool = False) -> DataFrame:
-    """question, ok, matches, nearest_fails, nearest: one row. ok: some edge satisfies all fields (absent: none does);
-    nearest: the edge that meets most of from, to and type, then fails least, then comes first."""
+def scored(expect: dict) -> Column:
+    """struct(same, fails) of an edge: how many of from, to and type hold, and how many stated fields do not."""
     tests = {k: predicate(k, v) for k, v in expect.items()}
     identity = reduce(lambda a, b: a + b, (t.cast("int") for k, t in tests.items() if k in IDENTITY), F.lit(0))
     fails = reduce(lambda a, b: a + b, ((~t).cast("int") for t in tests.values()), F.lit(0))
-    rows = edges.select(identity.alias("_same"), fails.alias("_fails"), F.concat_ws(" ", "src", "type", "dst").alias("_edge"))
-    best = rows.agg(F.count_if(F.col("_fails") == 0).alias("matches"), F.min(F.struct(-F.col("_same"), F.col("_fails"), F.col("_edge"))).alias("_best"))
-    ok = (F.col("matches") == 0) if absent else (F.col("matches") > 0)
-    return best.select(F.lit(question_id).alias("question"), ok.alias("ok"), "matches", F.col("_best._fails").alias("nearest_fails"), F.col("_best._edge").alias("nearest"))
+    return F.struct((-identity).alias("same"), fails.alias("fails"))
 
 
 def evaluate(edges: DataFrame, questions: list[dict]) -> DataFrame:
-    """match for each question {id, expect | expect_absent}."""
+    """question, ok, matches, nearest_fails, nearest for each question {id, expect | expect_absent}, in one pass over the
+    edges. ok: some edge satisfies all fields (absent: none does); nearest: the edge that meets most of from, to and type,
+    then fails least, then comes first."""
     validate(questions)
-    parts = [match(edges, q["id"], q.get("expect") or q["expect_absent"], "expect_absent" in q) for q in questions]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = edges.select(F.concat_ws(" ", "src", "type", "dst").alias("_edge"), *(scored(q.get("expect") or q["expect_absent"]).alias(f"q{i}") for i, q in enumerate(questions)))
+    found = rows.agg(*(F.struct(F.count_if(F.col(f"q{i}.fails") == 0).alias("matches"), F.min(F.struct(f"q{i}.same", f"q{i}.fails", "_edge")).alias("best")).alias(f"a{i}") for i in range(len(questions))))
+    answers = [F.struct(F.lit(q["id"]).alias("question"), F.lit("expect_absent" in q).alias("absent"), F.col(f"a{i}.matches").alias("matches"), F.col(f"a{i}.best").alias("best")) for i, q in enumerate(questions)]
+    each = found.select(F.inline(F.array(*answers)))
+    ok = F.when(F.col("absent"), F.col("matches") == 0).otherwise(F.col("matches") > 0)
+    return each.select("question", ok.alias("ok"), "matches", F.col("best.fails").alias("nearest_fails"), F.col("best._edge").alias("nearest"))
 
 
 FIELDS = ("from", "to", "type", "endpoint", "endpoint_resolved", "condition", "condition_contains", "provenance", "provenance_prefix", "owner", "store", "collections", "confidence", "grounded")

@@ -6,7 +6,7 @@ its result is written to the checkpoint folder, so neither the plan nor a recomp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions import text as T
@@ -101,10 +101,22 @@ def page_names(pages: DataFrame) -> DataFrame:
     return titles.unionByName(aliases).unionByName(stems).where("key <> ''")
 
 
-def resolve_titles(links: DataFrame, names: DataFrame, target: str = "dst", out: str = "page") -> DataFrame:
-    """links with the page that owns their target's normalised name, null if none does."""
-    owner = names.groupBy("key").agg(F.min_by("rel", F.struct("rank", "walk_no")).alias(out))
-    return links.withColumn("_key", T.normalize_title(T.strip_wikilink(target))).join(owner.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+def exact_names(pages: DataFrame) -> DataFrame:
+    """name, rel, rank, walk_no: titles and aliases as they are written."""
+    titles = pages.select(F.col("title").alias("name"), "rel", F.lit(0).alias("rank"), "walk_no")
+    aliases = pages.select(F.explode("aliases").alias("name"), "rel", F.lit(1).alias("rank"), "walk_no")
+    return titles.unionByName(aliases).where("name is not null and name <> ''")
+
+
+def resolve_titles(links: DataFrame, names: DataFrame, target: str = "dst", out: str = "page", exact: DataFrame | None = None) -> DataFrame:
+    """links with the page that owns their target's name: as it is written, if exact names are given, else normalised;
+    null if none does."""
+    owner = names.groupBy(F.col("key").alias("_key")).agg(F.min_by("rel", F.struct("rank", "walk_no")).alias("_normal"))
+    found = links.withColumn("_name", T.strip_wikilink(target)).withColumn("_key", T.normalize_title("_name")).join(owner, "_key", "left")
+    if exact is None:
+        return found.withColumnRenamed("_normal", out).drop("_key", "_name")
+    same = exact.groupBy(F.col("name").alias("_name")).agg(F.min_by("rel", F.struct("rank", "walk_no")).alias("_same"))
+    return found.join(same, "_name", "left").withColumn(out, F.coalesce("_same", "_normal")).drop("_key", "_name", "_same", "_normal")
 
 
 def broken(links: DataFrame, names: DataFrame, target: str = "dst") -> DataFrame:
@@ -169,3 +181,23 @@ def describe(pages: DataFrame, edges: DataFrame) -> DataFrame:
 def mermaid(edges: DataFrame) -> DataFrame:
     """Lines of a diagram: one for each edge."""
     return edges.select(F.format_string("  %s -->|%s| %s", T.slugify("src"), F.coalesce(F.col("field"), F.lit("link")), T.slugify("dst")).alias("line"))
+
+
+def text_line() -> Column:
+    """An edge as a line of text."""
+    return F.concat(F.lit("  "), F.col("src"), F.lit(" --"), F.coalesce("field", F.lit("link")), F.lit("--> "), F.col("dst"))
+
+
+def path_line(*nodes: str) -> Column:
+    """Nodes of a path, in order."""
+    return F.array_join(F.filter(F.array(*nodes), lambda n: n.isNotNull()), " -> ")
+
+
+def json_line() -> Column:
+    """An edge as a JSON object."""
+    return F.to_json(F.struct("src", "field", "dst"))
+
+
+def write_json(frame: DataFrame, path: str) -> None:
+    """A result as lines of JSON, a file a partition; the folder must not be there."""
+    frame.write.json(path)

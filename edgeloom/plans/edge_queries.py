@@ -142,7 +142,7 @@ def _cents(c: str):
 
 
 def graph_nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as declared nodes, sums of line items as live ones."""
+    """Orders as declared nodes, sums of line items as live ones. Pending orders are not declared: nodes of one side only."""
     o = table(spark, sf, "orders").where("o_orderstatus <> 'P'")
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(_cents("l_extendedprice")).alias("cents"), F.max("l_linestatus").alias("status"))
 
@@ -175,11 +175,11 @@ def reconcile_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf: str, status: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where(F.col("l_linestatus") == status).where("l_quantity >= 40")
+    li = table(spark, sf, "lineitem").where(F.col("l_linestatus") == status)
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("supplier/s"), "l_suppkey").alias("src"), F.concat(F.lit("part/p"), "l_partkey", F.lit("-prod")).alias("dst"), F.lit("supplies").alias("type"))
 
 
-_EDGES = "with o as (select distinct l_suppkey s, l_partkey p from lineitem where l_linestatus = 'O' and l_quantity >= 40), f as (select distinct l_suppkey s, l_partkey p from lineitem where l_linestatus = 'F' and l_quantity >= 40) "
+_EDGES = "with o as (select distinct l_suppkey s, l_partkey p from lineitem where l_linestatus = 'O'), f as (select distinct l_suppkey s, l_partkey p from lineitem where l_linestatus = 'F') "
 
 
 @query(_EDGES + """select 'supplier/s' || coalesce(o.s, f.s) src, 'part/p' || coalesce(o.p, f.p) || '-prod' dst, 'supplies' as type,
@@ -188,14 +188,15 @@ def reconcile_edges(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.reconcile_edges(graph_edges(spark, sf, "O"), graph_edges(spark, sf, "F"))
 
 
-@query("select 'order' as family, 'f' as id, count(distinct o_orderpriority)::bigint as n from orders where o_orderstatus = 'F' having count(distinct o_orderpriority) > 1")
+@query("select 'order' as family, lower(o_orderstatus) as id, count(distinct o_orderpriority)::bigint as n from orders group by 2 having count(distinct o_orderpriority) > 1")
 def reconcile_key_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F'")
+    o = table(spark, sf, "orders")
     return reconcile.key_collisions(o.select(F.concat(F.lit("order-"), "o_orderpriority").alias("kind"), F.concat(F.lit("x/"), "o_orderstatus").alias("name")))
 
 
 def environment(spark: SparkSession, sf: str, status: str) -> DataFrame:
     li = table(spark, sf, "lineitem").where(F.col("l_linestatus") == status).where("l_quantity >= 45")
+    # large line items only: each environment then lacks parts that the other has
     p = li.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"), F.max("l_returnflag").alias("flag"), F.count("*").alias("n"))
     attrs = F.map_filter(F.create_map(F.lit("qty"), F.col("q").cast("string"), F.lit("flag"), F.concat(F.lit(f"https://x.googleapis.com/projects/{status}/flags/"), "flag"), F.lit("many"), F.when(F.col("n") > 1, "yes"), F.lit("url"), F.lit(status)), lambda k, v: v.isNotNull())
     return p.select(F.col("l_partkey").alias("seq"), F.concat(F.lit(f"env-{status}/part"), "l_partkey").alias("name"), F.lit("part-x").alias("kind"), attrs.alias("attrs"), F.lit(None).cast("string").alias("provenance"))
@@ -229,7 +230,7 @@ def envdiff_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def access_of(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_quantity >= 30")
+    li = table(spark, sf, "lineitem")
     model = F.when((F.col("l_quantity") >= 50) & (F.col("l_returnflag") == "N"), F.lit("Model"))
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("s"), "l_suppkey").alias("repo"), F.lit("parts").alias("store"), F.concat(F.lit("p"), "l_partkey").alias("collection"),
@@ -238,7 +239,7 @@ def access_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ACCESS = """
-    with acc as (select l_orderkey * 10 + l_linenumber seq, 's' || l_suppkey repo, 'p' || l_partkey coll, l_returnflag = 'R' and l_quantity >= 40 w, l_quantity >= 50 and l_returnflag = 'N' m from lineitem where l_quantity >= 30),
+    with acc as (select l_orderkey * 10 + l_linenumber seq, 's' || l_suppkey repo, 'p' || l_partkey coll, l_returnflag = 'R' and l_quantity >= 40 w, l_quantity >= 50 and l_returnflag = 'N' m from lineitem),
     modes as (select coll, repo, bool_or(not w) reads, bool_or(w) writes, max(case when m then seq end) declares from acc group by 1, 2),
     own as (select coll, count(*) n_repos, count(*) filter (writes) n_writers, arg_max(repo, declares) declared, max(case when writes then repo end) writer from modes group by 1),
     owners as (select coll, n_repos, n_writers, case when declared is not null then declared when n_repos >= 2 and n_writers = 1 then writer end owner,
@@ -288,11 +289,11 @@ def co_writers(spark: SparkSession, sf: str) -> DataFrame:
     return coupling.co_writers(coupling.access_modes(access_of(spark, sf)))
 
 
-_STORE = "with e as (select 's' || l_suppkey page, 'o' || l_orderkey dst, 'c' || l_partkey % 50 coll, l_returnflag f, case when l_linenumber = 1 then 's' || l_suppkey end as owner from lineitem where l_quantity >= 45) "
+_STORE = "with e as (select 's' || l_suppkey page, 'o' || l_orderkey dst, 'c' || l_partkey % 50 coll, l_returnflag f, case when l_linenumber = 1 then 's' || l_suppkey end as owner from lineitem) "
 
 
 def store_edges(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_quantity >= 45")
+    li = table(spark, sf, "lineitem")
     modes = F.when(F.col("l_returnflag") == "R", F.array(F.lit("r"), F.lit("w"))).when(F.col("l_returnflag") == "A", F.array(F.lit("write"))).otherwise(F.array(F.lit("read")))
     return li.select(F.concat(F.lit("s"), "l_suppkey").alias("page"), F.concat(F.lit("o"), "l_orderkey").alias("dst"), F.lit("mongo").alias("store"), F.array(F.concat(F.lit("c"), F.col("l_partkey") % 50)).alias("collections"), modes.alias("this_modes"), F.array(F.lit("read")).alias("target_modes"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("s"), "l_suppkey")).alias("owner"))
 

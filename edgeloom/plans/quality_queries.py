@@ -115,7 +115,7 @@ def lint_links(spark: SparkSession, sf: str) -> DataFrame:
     from pages where rel not in (select t from c where t <> s) and rel not in (select s from c where bi and t <> s)""")
 def lint_orphans(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("rel"))
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem")  # large items are links, as otherwise no part would be an orphan
     ends = [F.concat(F.lit("p"), "l_suppkey").alias("src_rel"), F.concat(F.lit("p"), "l_partkey").alias("page")]
     coarse = li.where("l_quantity >= 49 and l_linenumber <= 2").select(*ends, F.when(F.col("l_linenumber") == 2, "bidirectional").otherwise("up").alias("direction"))
     runtime = li.where("l_quantity >= 46 and l_linenumber > 2").select(F.lit("x").alias("src_rel"), ends[1])
@@ -234,7 +234,7 @@ _SURVEY = """
 
 def surveyed(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id") % 7
-    d = table(spark, sf, "documents").where("source not in ('src0', 'src1') or doc_id % 7 > 1")
+    d = table(spark, sf, "documents").where("source not in ('src0', 'src1') or doc_id % 7 > 1")  # two sources without signals of a service
     return inventory.survey(d.select(F.col("source").alias("repo"), F.when(k == 0, "Dockerfile").when(k == 1, "package.json").when(k == 2, "src/Makefile").otherwise(F.concat(F.lit("src/"), "doc_id")).alias("rel"), "text"))
 
 
@@ -249,13 +249,13 @@ def inventory_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.coverage(s, s.where("type <> 'service'")).select("repo", *(F.array_join(c, ",").alias(c) for c in ("detected", "covered", "gaps")))
 
 
-@query("""with e as (select distinct 's' || l_suppkey src, 'p' || l_partkey dst, l_returnflag as type, l_linestatus endpoint from lineitem where l_suppkey < 20),
+@query("""with e as (select distinct 's' || l_suppkey src, 'p' || l_partkey dst, l_returnflag as type, l_linestatus endpoint from lineitem),
     q(question, f, t, ty, ep, neg) as (values ('hit', 's1', null, 'R', 'F', false), ('miss', 's1', 'p-none', 'R', null, false), ('absent', 's-none', null, null, null, true)),
     m as (select question, neg, (f is not null and src = f)::int + (t is not null and dst = t)::int + (ty is not null and type = ty)::int same,
             (f is not null and src <> f)::int + (t is not null and dst <> t)::int + (ty is not null and type <> ty)::int + (ep is not null and endpoint <> ep)::int fails, src || ' ' || type || ' ' || dst edge from e, q)
     select question, case when neg then count(*) filter (fails = 0) = 0 else count(*) filter (fails = 0) > 0 end ok, count(*) filter (fails = 0) matches, first(fails order by -same, fails, edge) nearest_fails, first(edge order by -same, fails, edge) nearest from m group by question, neg""")
 def question_match(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").where("l_suppkey < 20").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("endpoint")).distinct()
+    e = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("endpoint")).distinct()
     return evaluation.evaluate(e, [{"id": "hit", "expect": {"from": "s1", "type": "R", "endpoint": "F"}}, {"id": "miss", "expect": {"from": "s1", "to": "p-none", "type": "R"}}, {"id": "absent", "expect_absent": {"from": "s-none"}}])
 
 
