@@ -137,8 +137,9 @@ def _pack_blocks(batches):
 
 
 def _entries(batches, length: int, buckets: int):
-    """Of each block, for each bucket: anchors, surroundings (40 bits of the hash; with the anchor's and the bucket more
-    than 80), smallest doc_ids."""
+    """Of each block, for each bucket: anchors (32 bits of a hash, beside those that chose the bucket), surroundings (64
+    bits), smallest doc_ids. With b bytes of text there are about b / 17 entries, and the chance that any two different
+    ones share all bits is below b^2 / 2^105 / (number of buckets): one in 10^9 at 100 TB."""
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             b = Block(*pickle.loads(loosened(data.as_buffer().to_pybytes())), length, buckets)
@@ -150,7 +151,7 @@ def _entries(batches, length: int, buckets: int):
                 steps = np.diff(docs, prepend=docs[:1])
                 kind = np.uint16 if len(steps) and 0 <= steps.min() and steps.max() < 65536 else np.int64
                 around = b.around[own]
-                rows.append(pickle.dumps((b.gram[own].tobytes(), around.astype(np.uint32).tobytes() + (around >> np.uint64(32)).astype(np.uint8).tobytes(), int(docs[0]), kind is np.uint16, squeezed(steps.astype(kind).tobytes())), 5))
+                rows.append(pickle.dumps((b.gram[own].tobytes(), around.tobytes(), int(docs[0]), kind is np.uint16, squeezed(steps.astype(kind).tobytes())), 5))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "block": [block] * len(used), "data": rows})
 
 
@@ -188,7 +189,7 @@ def _shared(batches):
         docs = [np.cumsum(np.frombuffer(loosened(s), np.uint16 if short else np.int64).astype(np.int64)) + base for _, _, base, short, s in parts]
         sizes = [len(d) for d in docs]
         gram = np.frombuffer(b"".join(p[0] for p in parts), np.uint32)
-        around = np.concatenate([np.frombuffer(p[1][: 4 * n], np.uint32).astype(np.uint64) | np.frombuffer(p[1][4 * n :], np.uint8).astype(np.uint64) << np.uint64(32) for p, n in zip(parts, sizes, strict=True)])
+        around = np.frombuffer(b"".join(p[1] for p in parts), np.uint64)
         doc, source = np.concatenate(docs), np.repeat(np.arange(len(parts)), sizes)
         order = np.lexsort((source, doc, around, gram))
         g, a, d = gram[order], around[order], doc[order]

@@ -36,6 +36,23 @@ def test_few_candidates_still_find_most(spark):
     assert hits >= 0.8 * 150  # a third of all were looked at
 
 
+def test_recall_with_the_budget_in_force(spark):
+    """20,000 vectors around 300 centres, of which a query looks at about 7 in 100."""
+    n, every, top = 20_000, 200, 20
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, n)] + 0.6 * rng.normal(size=(n, 32))) * rng.uniform(0.8, 1.2, (n, 1))
+    assert neighbours.candidates_for(n) < 0.08 * n * neighbours.TREES
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(8)
+    got = neighbours.nearest(frame, every=every, top=top).toPandas().sort_values(["query_id", "rank"])
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        want = dict(exact(np.arange(n), x, q, top))
+        found = dict(zip(rows["vec_id"], rows["score"], strict=True))
+        hits += len(want.keys() & found.keys())
+        assert all(found[i] == pytest.approx(want[i], rel=1e-12) for i in want.keys() & found.keys()) and q not in found
+    assert got["query_id"].nunique() == n // every and hits >= 0.9 * top * n // every
+
+
 def test_odd_vectors(spark):
     v = [1.0, 2.0]
     rows = [(0, v), (20, v), (1, v), (2, [2.0, 4.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, float("nan")]), (7, [1.0]), (None, v), (8, [-1.0, -2.0]), (2, [2.0, 4.0]), (40, [0.0, 0.0])]
@@ -112,6 +129,36 @@ def test_conversations_with_control_strings_and_many_turns(spark):
     assert got == {c: digests(own) for c, own in turns.items()}
 
 
+def test_pipeline_on_odd_rows(spark, sf, documents, empty):
+    """Nulls, empty and long texts, ties, repeats and further columns of any name go through every stage."""
+    import corpus_pipeline as pipeline
+
+    names = {"score": "_kept", "n": "_id"}
+    odd = documents.withColumnsRenamed(names).withColumn("_whole", documents["text"]).withColumn("_md5", documents["lang"]).withColumn("key", documents["lang"]).withColumn("row", documents["doc_id"])
+    for start in (odd, odd.limit(0)):
+        docs = start
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            kept = out.collect()
+            if name != "best_fit_packing":
+                assert out.columns == odd.columns and len(kept) <= docs.count()
+            docs = spark.createDataFrame(kept, out.schema) if kept or start is not odd else out
+        assert bool(kept) == (start is odd)
+    assert empty.count() == 0
+
+
+def test_stages_on_odd_rows(spark, documents):
+    """What each stage after the classifier makes of them: one of the three copies of doc 1 stays, secrets go."""
+    import corpus_pipeline as pipeline
+
+    near = pipeline.near_duplicates(spark, documents, "").collect()
+    assert sorted(r["doc_id"] for r in near if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 8, 9, 10] and sum(r["doc_id"] is None for r in near) == 1
+    cut = {r["doc_id"]: r["text"] for r in pipeline.repeated_passages(spark, documents, "").collect()}
+    assert cut[5] is None and cut[4] == "" and cut[8] == next(r["text"] for r in documents.collect() if r["doc_id"] == 8) and len(cut[2]) < 50
+    clean = {r["doc_id"]: r["text"] for r in pipeline.secret_scan(spark, documents, "").collect()}
+    assert "hunter2" not in clean[9] and clean[5] is None and clean[8] == cut[8]
+
+
 def test_pipeline(spark, sf):
     """Each stage against what brute force keeps of what the stage before kept."""
     import corpus_pipeline as pipeline
