@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.functions import text as T
@@ -53,13 +54,22 @@ def _get(item: Column, *paths: str) -> Column:
 
 
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, doc: whole JSON files as strings."""
-    return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
+    """path, doc, doc_no: whole JSON files as strings, numbered in the order of their paths."""
+    read = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
+    names = read.select("path").distinct()  # a row a file
+    numbered = names.select("path", (F.row_number().over(W.orderBy("path")) - 1).cast("bigint").alias("doc_no"))
+    return read.join(F.broadcast(numbered), "path")
 
 
 def _items(docs: DataFrame, section: str | None, name: str, no: int) -> DataFrame:
     found = F.from_json(F.get_json_object("doc", f"$.{section}.{name}" if section else f"$.{name}"), "array<string>")
-    return docs.select(F.posexplode(found).alias("at", "item")).withColumn("seq", F.lit(no * 1_000_000).cast("bigint") + F.col("at"))
+    return docs.select(_number(docs), F.posexplode(found).alias("at", "item")).withColumn("seq", F.shiftleft(F.col("_doc"), 44) + F.lit(no << 33) + F.col("at")).drop("_doc")
+
+
+def _number(docs: DataFrame) -> Column:
+    """The number of a document, so that sequence numbers of several do not meet: 19 bits, before 11 for the section and 33
+    for the place in it."""
+    return (F.col("doc_no") if "doc_no" in docs.columns else F.lit(0)).cast("bigint").alias("_doc")
 
 
 def live_nodes(docs: DataFrame) -> DataFrame:
@@ -100,12 +110,13 @@ def is_canonical(doc: Column | str = "doc") -> Column:
 def canonical(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of documents of either shape."""
     ready = docs.where(is_canonical())
-    nodes = ready.select(F.posexplode(F.from_json(F.get_json_object("doc", "$.nodes"), "array<struct<name:string,kind:string,provider:string,source:string,attrs:map<string,string>,provenance:string>>")).alias("seq", "n"))
-    edges = ready.select(F.posexplode(F.from_json(F.get_json_object("doc", "$.edges"), "array<map<string,string>>")).alias("seq", "e"))
+    nodes = ready.select(_number(docs), F.posexplode(F.from_json(F.get_json_object("doc", "$.nodes"), "array<struct<name:string,kind:string,provider:string,source:string,attrs:map<string,string>,provenance:string>>")).alias("seq", "n"))
+    edges = ready.select(_number(docs), F.posexplode(F.from_json(F.get_json_object("doc", "$.edges"), "array<map<string,string>>")).alias("seq", "e"))
     get = lambda k: F.try_element_at("e", F.lit(k))
-    flat = edges.select(F.col("seq").cast("bigint").alias("seq"), get("from").alias("src"), get("to").alias("dst"), *(get(k).alias(k) for k in ("type", "source", "condition", "provenance")))
+    seq = (F.shiftleft(F.col("_doc"), 44) + F.col("seq")).alias("seq")
+    flat = edges.select(seq, get("from").alias("src"), get("to").alias("dst"), *(get(k).alias(k) for k in ("type", "source", "condition", "provenance")))
     live = docs.where(~is_canonical())
-    return nodes.select(F.col("seq").cast("bigint").alias("seq"), "n.*").unionByName(live_nodes(live)), flat.unionByName(live_edges(live))
+    return nodes.select(seq, "n.*").unionByName(live_nodes(live)), flat.unionByName(live_edges(live))
 
 
 def grounding_facts(docs: DataFrame) -> DataFrame:

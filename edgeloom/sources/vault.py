@@ -153,11 +153,23 @@ def write_atomic(path: str, text: str) -> None:
 
 
 def write_pages(pages: DataFrame, root: str, overwrite: bool = False) -> int:
-    """Writes (path, text) below root page by page as rows arrive; pages that are there stay unless `overwrite`."""
-    n = 0
-    for r in pages.select("path", "text").toLocalIterator():
-        target = os.path.join(root, r["path"])
-        if overwrite or not os.path.exists(target):
-            write_atomic(target, r["text"])
-            n += 1
-    return n
+    """Writes (path, text) below root, each page by the task that holds it; pages that are there stay unless `overwrite`.
+
+    The folder must be one that every executor can open. A page is written whole or not at all, so that a task which
+    runs again finds it there and counts it no more: the number is of pages that its last run wrote.
+    """
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = 0
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = os.path.join(root, path)
+                if overwrite or not os.path.exists(target):
+                    write_atomic(target, text)
+                    n += 1
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    written = pages.select("path", "text").mapInArrow(write, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.operators import merge
@@ -18,7 +19,7 @@ def upsert_stream(patches: DataFrame, read: Callable[[], DataFrame], write: Call
 
     def merged(batch: DataFrame, number: int) -> None:
         rows = merge.upsert(read(), batch, fresh=fresh)
-        write(rows.drop("outcome").withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id() + F.lit((number + 1) << 40))), number)
+        write(rows.drop("outcome").withColumn("seq", F.coalesce("seq", F.row_number().over(W.partitionBy("page").orderBy("target", "type", "endpoint", "condition")) + F.lit((number + 1) << 40))), number)
 
     return patches.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

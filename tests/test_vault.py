@@ -89,12 +89,19 @@ def test_checks(spark, root, pages):
     schema = {(r["page"], r["message"]) for r in quality.check_schema(pages, required).collect()}
     assert ("services/gateway.md", "missing required field summary") in schema and ("bare.md", "no frontmatter") in schema and len(schema) == 3
     sections = {(r["message"], r["line"]) for r in quality.check_sections(pages.where("rel = 'services/gateway.md'")).collect()}
-    assert sections == {("empty section: ## Empty", 5), ("placeholder text", 8)}
+    assert sections == {("empty section: ## Empty", 5), ("placeholder TODO", 8), ("placeholder TODO", 10)}
     assert [r["message"] for r in quality.check_types(pages).collect()] == ["type is component, the folder implies service"]
     edges = vault.runtime_edges(pages)
     stale = {r["message"] for r in quality.check_staleness(pages, edges, "2024-03-01", 30).collect()}
     assert "1 edges without a freshness stamp" in stale and "updated 59 days ago" in stale
     assert quality.outcome(quality.check_types(pages), pages.limit(0)).first()["status"] == "nothing-assessed"
+    found = {"types": quality.check_types(pages), "sections": quality.check_sections(pages)}
+    codes = [quality.exit_code(quality.lint(found, c), p, f).first()["code"] for c, p, f in (("types", pages, "error"), ("types", pages, "warn"), ("all", pages, "error"), ("all", pages.limit(0), "error"))]
+    assert codes == [quality.PASSED, quality.FAILED, quality.FAILED, quality.NOTHING_ASSESSED]
+    with pytest.raises(ValueError, match="no such check"):
+        quality.selected("types,spelling")
+    fallback = {r["message"] for r in quality.check_schema(pages).where("page = 'services/gateway.md'").collect()}
+    assert {"missing required field status", "missing required field summary"} <= fallback
 
 
 def test_generated(spark, root, pages):
