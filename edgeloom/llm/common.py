@@ -20,7 +20,7 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20, rows: int = 2500) -> Iterator[pa.RecordBatch]:
+def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20, rows: int = 2500) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most `rows` rows whose texts hold about `most` bytes, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))

@@ -13,7 +13,7 @@ import numpy as np
 from edgeloom.llm.bytewords import mix64
 
 #: slots of a hash table; longest word that is folded beside others; words folded together
-_SLOTS, _SIDE, _AT_ONCE = 1 << 20, 64, 50_000
+_SLOTS, _SIDE, _AT_ONCE = 1 << 20, 64, 25_000
 
 
 def _hash(codes: np.ndarray, before: np.ndarray | None) -> np.ndarray:
@@ -35,7 +35,7 @@ class Lattice:
         reached = [i for p, i in pieces.items() if self._reached(p, i, merges)]
         self._index_prefixes([self.text[i] for i in reached], reached)
         self._index_pairs(merges)
-        self.one = [i.to_bytes(4, "little") for i in range(max(self.text) + 1)]
+        del self.text, self.ids, self.split, self.rank  # arrays hold what they said
 
     def size_of(self, word: str) -> int:
         return len(word)
@@ -220,7 +220,7 @@ class Lattice:
             found[words[k]] = b"".join(reversed(own))
 
     def _ids_of(self, piece: int, word: str, at: int) -> bytes:
-        return self.one[piece] if piece >= 0 else self.bare(word[at])
+        return piece.to_bytes(4, "little") if piece >= 0 else self.bare(word[at])
 
     def _long(self, w: str) -> bytes:
         """The ids of one word of any length: what is held grows with its length only."""
@@ -265,7 +265,7 @@ class Remembered:
         new = list(every.difference(self.known))
         if new:
             if len(self.known) + len(new) > self.most:
-                self.known, new = {}, list(every)
+                self.known = {k: self.known[k] for k in every.intersection(self.known)}  # what this slice uses again
             self._learn(new)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, keys)), np.uint32) for keys in lists]

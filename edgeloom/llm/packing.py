@@ -61,7 +61,7 @@ class Ids:
     go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 150_000):
         import json
 
         from tokenizers import Tokenizer
