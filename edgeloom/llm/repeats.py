@@ -25,25 +25,40 @@ from edgeloom.llm.suffixes import sort_bucket
 LENGTH = 50
 BLOCK = 3 << 20
 CHUNK = 1 << 20
-BUCKET = 2 << 20
+#: bytes of text whose blocks send their entries together, and for which there is one bucket
+PACK = 16 << 20
+BUCKET = 8 << 20
+#: entries and windows that are sorted at a time within a bucket
+SLICE = 1 << 17
 #: different surroundings of one anchor from which on their windows are spread over buckets
 HOT = 4096
 _GRAM = 18
 
 
-def squeezed(x) -> bytes:
-    import zstandard
+class _Held(dict):
+    """What a process keeps; it is sent to no other."""
 
-    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else pickle.dumps(x, 5))
+    def __reduce__(self):
+        return _Held, ()
 
 
-def loosened(b: bytes):
+_held = _Held()
+
+
+def _zstd(kind: str, **given):
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(b)
+    if kind not in _held:
+        _held[kind] = getattr(zstandard, kind)(**given)
+    return _held[kind]
 
 
-_held: dict = {}
+def squeezed(x) -> bytes:
+    return _zstd("ZstdCompressor", level=3).compress(x if isinstance(x, bytes) else pickle.dumps(x, 5))
+
+
+def loosened(b: bytes):
+    return _zstd("ZstdDecompressor").decompress(b)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,40 +134,79 @@ class Block:
         self.buckets, edges = np.unique(bucket[self.order], return_index=True)  # those that the block has entries in
         self.edges = np.append(edges, len(bucket))
 
-    def entries_of(self, bucket: int) -> np.ndarray:
-        k = int(np.searchsorted(self.buckets, bucket))
-        return self.order[self.edges[k] : self.edges[k + 1]]
+
+def buckets_for(size: int) -> int:
+    """How many buckets a corpus of `size` bytes has."""
+    return max(32, -(-size // BUCKET))
 
 
 def _pack_blocks(batches):
     import uuid
 
+    pack, place, held_bytes = uuid.uuid4().hex, 0, 0
     for part in rows_by_bytes(batches, "text", BLOCK, 10_000):
         ids = part.column(0).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         texts = part.column(1)
         raw = [texts[i].as_buffer().to_pybytes() for i in order.tolist()]
+        size = sum(map(len, raw))
+        if place and held_bytes + size > PACK:
+            pack, place, held_bytes = uuid.uuid4().hex, 0, 0
         held = pickle.dumps((ids[order], np.cumsum([0, *map(len, raw)]), b"".join(raw)), 5)
-        yield pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "bytes": [sum(map(len, raw))], "data": [squeezed(held)]})
+        yield pa.RecordBatch.from_pydict({"pack": [pack], "place": pa.array([place], pa.int32()), "bytes": [size], "data": [squeezed(held)]})
+        place, held_bytes = place + 1, held_bytes + size
+
+
+def _sent(pack: str, blocks: list) -> pa.RecordBatch:
+    """One row for each bucket with the entries of all blocks of a pack, block by block. Takes what is in `blocks`."""
+    place = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(b[0]) for b in blocks])
+    columns = list(zip(*blocks, strict=True))
+    blocks.clear()
+    order = np.argsort(np.concatenate(columns[0]), kind="stable").astype(np.int32)
+    place = place[order]
+    bucket, gram, around, docs = (np.concatenate(columns.pop(0))[order] for _ in range(4))
+    part = np.flatnonzero(starts_of(bucket, place))  # of one block in one bucket, by rising doc_id
+    steps = np.diff(docs, prepend=docs[:1])
+    steps[part] = 0
+    counts, bases = np.diff(np.append(part, len(bucket))), docs[part]
+    del place, order, docs
+    edges = np.append(np.flatnonzero(starts_of(bucket)), len(bucket))
+    of_row = np.searchsorted(part, edges).tolist()
+    used, rows, edges = bucket[edges[:-1]], [], edges.tolist()
+    for s, t, i, j in zip(edges, edges[1:], of_row, of_row[1:], strict=False):
+        short = bool(0 <= steps[s:t].min() and steps[s:t].max() < 65536)
+        own = squeezed(steps[s:t].astype(np.uint16 if short else np.int64).tobytes())
+        rows.append(pickle.dumps((gram[s:t].tobytes(), around[s:t].tobytes(), counts[i:j].tobytes(), bases[i:j].tobytes(), short, own), 5))
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "pack": [pack] * len(rows), "data": pa.array(rows, pa.binary())})
+
+
+def _docs_of(row: tuple) -> np.ndarray:
+    """The doc_ids of a row of _sent."""
+    _, _, counts, bases, short, steps = row
+    counts, bases = np.frombuffer(counts, np.int64), np.frombuffer(bases, np.int64)
+    total = np.cumsum(np.frombuffer(loosened(steps), np.uint16 if short else np.int64), dtype=np.int64)
+    return total + np.repeat(bases - total[np.cumsum(counts) - counts], counts)
 
 
 def _entries(batches, length: int, buckets: int):
-    """Of each block, for each bucket: anchors (32 bits of a hash, beside those that chose the bucket), surroundings (64
+    """Of each pack, for each bucket: anchors (32 bits of a hash, beside those that chose the bucket), surroundings (64
     bits), smallest doc_ids. With b bytes of text there are about b / 17 entries, and the chance that any two different
-    ones share all bits is below b^2 / 2^105 / (number of buckets): one in 10^9 at 100 TB."""
+    ones share all bits is below b^2 / 2^105 / (number of buckets): one in 10^9 at 100 TB.
+
+    A row for each block of 3 MB and bucket of 2 MB would be 170 a MB of text at 1 GB, and 1700 at 10 GB; with packs of 16 MB
+    and buckets of 8 MB they are 8 and 80."""
+    current, held = None, []
     for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for pack, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if pack != current:
+                if held:
+                    yield _sent(current, held)
+                current, held = pack, []
             b = Block(*pickle.loads(loosened(data.as_buffer().to_pybytes())), length, buckets)
-            used = b.buckets.tolist()
-            rows = []
-            for k in range(len(used)):
-                own = b.order[b.edges[k] : b.edges[k + 1]]
-                docs = b.smallest[own]
-                steps = np.diff(docs, prepend=docs[:1])
-                kind = np.uint16 if len(steps) and 0 <= steps.min() and steps.max() < 65536 else np.int64
-                around = b.around[own]
-                rows.append(pickle.dumps((b.gram[own].tobytes(), around.tobytes(), int(docs[0]), kind is np.uint16, squeezed(steps.astype(kind).tobytes())), 5))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "block": [block] * len(used), "data": rows})
+            if len(b.order):
+                held.append((np.repeat(b.buckets.astype(np.int32), np.diff(b.edges)), b.gram[b.order], b.around[b.order], b.smallest[b.order]))
+    if held:
+        yield _sent(current, held)
 
 
 def _runs(batches, keys: int):
@@ -178,36 +232,59 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def slices_of(key: np.ndarray, weight: np.ndarray, most: int):
+    """Ranges (from, to) of a sorted key: no key is in two of them, and each weighs about `most`, one key at least."""
+    if not len(key):
+        return
+    at = np.flatnonzero(starts_of(key))
+    before = (np.cumsum(weight) - weight)[at]
+    first = at[starts_of(before // most)].tolist()
+    yield from zip(first, [*first[1:], len(key)], strict=True)
+
+
+def _flags_of(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    key = gram.astype(np.uint64) << np.uint64(32) | around >> np.uint64(32)
+    order = np.argsort(key)
+    key, a = key[order], around[order]
+    if np.any((key[1:] == key[:-1]) & (a[1:] != a[:-1])):
+        order = np.lexsort((around, gram))
+        a = around[order]
+    g, d = gram[order], doc[order]
+    entry, anchor = starts_of(g, a), starts_of(g)
+    least = np.minimum.reduceat(d, np.flatnonzero(entry))[np.cumsum(entry) - 1]
+    of, at = np.cumsum(anchor) - 1, np.flatnonzero(anchor)
+    kinds = np.add.reduceat(entry.astype(np.int64), at)
+    mixed = (np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at)) & (kinds > 1)
+    found = np.empty(len(order), np.uint8)
+    found[order] = np.where(d > least, 1, np.where(mixed[of], np.where(kinds[of] >= HOT, 3, 2), 0))
+    return found
+
+
 def _shared(batches):
-    """One bucket of anchors at a time: which entries of which block repeat an earlier document's.
+    """One bucket of anchors at a time: which entries of which pack repeat an earlier document's.
 
     1: another block has the entry with a smaller doc_id. 2, 3: this is the entry's first document (in each block that
     holds rows of it), and other documents have the anchor in other surroundings (3: in HOT or more).
     """
     for (bucket,), rows in _runs(batches, 1):
         parts = [pickle.loads(data) for _, data in rows]
-        docs = [np.cumsum(np.frombuffer(loosened(s), np.uint16 if short else np.int64).astype(np.int64)) + base for _, _, base, short, s in parts]
-        sizes = [len(d) for d in docs]
+        doc = np.concatenate([_docs_of(p) for p in parts])
         gram = np.frombuffer(b"".join(p[0] for p in parts), np.uint32)
         around = np.frombuffer(b"".join(p[1] for p in parts), np.uint64)
-        doc, source = np.concatenate(docs), np.repeat(np.arange(len(parts)), sizes)
-        order = np.lexsort((source, doc, around, gram))
-        g, a, d = gram[order], around[order], doc[order]
-        entry = starts_of(g, a)
-        least = d[np.flatnonzero(entry)][np.cumsum(entry) - 1]
-        anchor = starts_of(g)
-        of, at = np.cumsum(anchor) - 1, np.flatnonzero(anchor)
-        kinds = np.add.reduceat(entry.astype(np.int64), at)
-        mixed = (np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at)) & (kinds > 1)
-        flag = np.where(d > least, 1, np.where(mixed[of], np.where(kinds[of] >= HOT, 3, 2), 0)).astype(np.uint8)
-        found = np.zeros(len(order), np.uint8)
-        found[order] = flag
+        sizes = [len(p[0]) // 4 for p in parts]
+        del parts
+        head = (gram >> np.uint32(16)).astype(np.uint16)
+        by = np.argsort(head, kind="stable")
+        found = np.zeros(len(gram), np.uint8)
+        for s, t in slices_of(head[by], np.ones(len(by), np.int64), SLICE):
+            own = by[s:t]
+            found[own] = _flags_of(gram[own], around[own], doc[own])
         at = 0
-        for (block, _), n in zip(rows, sizes, strict=True):
+        for (pack, _), n in zip(rows, sizes, strict=True):
             own = found[at : at + n]
             at += n
             if own.any():
-                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": pa.array([bucket], pa.int32()), "data": [squeezed(own.tobytes())]})
+                yield pa.RecordBatch.from_pydict({"pack": [pack], "bucket": pa.array([bucket], pa.int32()), "data": [squeezed(own.tobytes())]})
 
 
 def _digest(ids, bounds, data: np.ndarray, cover: np.ndarray, picked, texts: bool) -> tuple:
@@ -235,7 +312,7 @@ def _digest(ids, bounds, data: np.ndarray, cover: np.ndarray, picked, texts: boo
     return tuple(out)
 
 
-_STEP = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("data", pa.binary())])
+_STEP = pa.schema([("kind", pa.int32()), ("pack", pa.string()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def _cover(n: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
@@ -245,90 +322,134 @@ def _cover(n: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
+def _step(pack: str, rows: list) -> pa.RecordBatch:
+    kinds, where, datas = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([pack] * len(rows)), pa.array(where, pa.int32()), pa.array(datas, pa.binary())], schema=_STEP)
+
+
+def _windows(pieces: dict) -> list:
+    """What the blocks of a pack send to be sorted, one row for each bucket."""
+    return [(2, where, squeezed((*(np.concatenate(c) for c in list(zip(*held, strict=True))[:5]), b"".join(p[5] for p in held)))) for where, held in sorted(pieces.items())]
+
+
 def _mark(batches, length: int, buckets: int, texts: bool):
-    """Each block with its flags. Out come results (0), documents still open (1), surroundings to be sorted (2)."""
-    for (block,), rows in _runs(batches, 1):
-        flags = {bucket: data for tag, bucket, data in rows if tag == 0}
-        (data,) = [data for tag, _, data in rows if tag == 1]
-        b = Block(*pickle.loads(loosened(data)), length, buckets)
-        flag = np.zeros(len(b.first), np.uint8)
-        for k, v in flags.items():
-            flag[b.entries_of(k)] = np.frombuffer(loosened(v), np.uint8)
-        own, of_doc = flag[b.entry], b.ids[b.doc]
-        full = (own == 1) | (of_doc > b.smallest[b.entry])
-        part = (own >= 2) & (of_doc == b.smallest[b.entry])
-        cover = _cover(len(b.data), b.lo[full], b.hi[full], length)
-        pending = np.zeros(len(b.ids), bool)
-        pending[b.doc[part]] = True
-        out = [(0, -1, squeezed(_digest(b.ids, b.bounds, b.data, cover, np.flatnonzero(~pending).tolist(), texts)))]
-        if pending.any():
-            open_ = np.flatnonzero(pending).tolist()
-            shift = np.zeros(len(b.ids), np.int64)
-            sizes = np.array([b.bounds[i + 1] - b.bounds[i] for i in open_])
-            new = np.concatenate([[0], np.cumsum(sizes)])
-            for k, i in enumerate(open_):
-                shift[i] = new[k] - b.bounds[i]
-            pieces = [slice(b.bounds[i], b.bounds[i + 1]) for i in open_]
-            text, done = np.concatenate([b.data[s] for s in pieces]), np.concatenate([cover[s] for s in pieces])
-            lo, entry = b.lo[part] + shift[b.doc[part]], b.entry[part]
-            out.append((1, -1, squeezed((b.ids[open_], new, text.tobytes(), np.packbits(done).tobytes(), lo, b.hi[part] - b.lo[part] + 1, entry))))
-            entries = np.flatnonzero(flag >= 2)
-            run = b.first[entries]
-            lo, size = b.lo[run], b.hi[run] - b.lo[run] + 1
-            hot = flag[entries] == 3
-            e, win = entries[~hot], np.zeros(int((~hot).sum()), np.int64)
-            at, many, docs = lo[~hot], size[~hot], b.smallest[e]
-            where = np.zeros(len(e), np.int64)
-            where[:] = b.gram[e].astype(np.int64) % buckets
-            if hot.any():  # window by window, each in the bucket of its own bytes; equal ones of this block once
-                w_e = np.repeat(entries[hot], size[hot])
-                w_win = np.concatenate([np.arange(n) for n in size[hot].tolist()])
-                w_at = np.repeat(lo[hot], size[hot]) + w_win
-                bytes_of = [b.data[i : i + length].tobytes() for i in w_at.tolist()]
-                hashes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") >> 1 for x in bytes_of], np.int64)
-                same = np.unique(np.frombuffer(b"".join(bytes_of), f"V{length}"), return_inverse=True)[1].ravel()  # equal bytes, not only hashes
-                order = np.lexsort((b.smallest[w_e], same))
-                lead = starts_of(same[order])
-                first = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-                later = b.smallest[w_e[order]] > b.smallest[w_e[first]]
-                gone = order[later]
-                if len(gone):
-                    out.append((3, -1, squeezed((w_e[gone], w_win[gone]))))
-                pick = order[~later]
-                e, win, at = np.append(e, w_e[pick]), np.append(win, w_win[pick]), np.append(at, w_at[pick])
-                many, docs, where = np.append(many, np.ones(len(pick), np.int64)), np.append(docs, b.smallest[w_e[pick]]), np.append(where, hashes[pick] % buckets)
-            order = np.argsort(where, kind="stable")
-            edges = np.flatnonzero(np.append(True, np.diff(where[order]) != 0)).tolist() if len(order) else []
-            for s, t in zip(edges, [*edges[1:], len(order)], strict=True):
-                k = order[s:t]
-                text = b"".join(b.data[i : i + m + length - 1].tobytes() for i, m in zip(at[k].tolist(), many[k].tolist(), strict=True))
-                out.append((2, int(where[k[0]]), squeezed((e[k].astype(np.uint32), win[k].astype(np.uint32), many[k].astype(np.uint32), docs[k], text))))
-        kinds, where, datas = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([block] * len(out)), pa.array(where, pa.int32()), pa.array(datas, pa.binary())], schema=_STEP)
+    """Each pack with its flags. Out come results (0), documents still open (1), surroundings to be sorted (2). Entries
+    are numbered through the blocks of the pack."""
+    for (pack,), rows in _runs(batches, 1):
+        flags = {bucket: np.frombuffer(loosened(data), np.uint8) for tag, bucket, data in rows if tag == 0}
+        blocks = sorted((place, data) for tag, place, data in rows if tag == 1)
+        del rows
+        passed = dict.fromkeys(flags, 0)
+        before, pieces, waiting = 0, {}, 0
+        for _, data in blocks:
+            b = Block(*pickle.loads(loosened(data)), length, buckets)
+            flag = np.zeros(len(b.first), np.uint8)
+            edges = b.edges.tolist()
+            for k, s, t in zip(b.buckets.tolist(), edges, edges[1:], strict=False):
+                if k in flags:
+                    flag[b.order[s:t]] = flags[k][passed[k] : passed[k] + t - s]
+                    passed[k] += t - s
+            out, sent = _mark_block(b, flag, before, length, buckets, texts)
+            before += len(b.first)
+            yield _step(pack, out)
+            for where, piece in sent:
+                pieces.setdefault(where, []).append(piece)
+                waiting += len(piece[5])
+            if waiting > PACK:
+                yield _step(pack, _windows(pieces))
+                pieces, waiting = {}, 0
+        if pieces:
+            yield _step(pack, _windows(pieces))
+
+
+def _mark_block(b: Block, flag: np.ndarray, before: int, length: int, buckets: int, texts: bool) -> tuple[list, list]:
+    own, of_doc = flag[b.entry], b.ids[b.doc]
+    full = (own == 1) | (of_doc > b.smallest[b.entry])
+    part = (own >= 2) & (of_doc == b.smallest[b.entry])
+    cover = _cover(len(b.data), b.lo[full], b.hi[full], length)
+    pending = np.zeros(len(b.ids), bool)
+    pending[b.doc[part]] = True
+    out, sent = [(0, -1, squeezed(_digest(b.ids, b.bounds, b.data, cover, np.flatnonzero(~pending).tolist(), texts)))], []
+    if pending.any():
+        open_ = np.flatnonzero(pending).tolist()
+        shift = np.zeros(len(b.ids), np.int64)
+        sizes = np.array([b.bounds[i + 1] - b.bounds[i] for i in open_])
+        new = np.concatenate([[0], np.cumsum(sizes)])
+        for k, i in enumerate(open_):
+            shift[i] = new[k] - b.bounds[i]
+        pieces = [slice(b.bounds[i], b.bounds[i + 1]) for i in open_]
+        text, done = np.concatenate([b.data[s] for s in pieces]), np.concatenate([cover[s] for s in pieces])
+        lo, entry = b.lo[part] + shift[b.doc[part]], b.entry[part]
+        out.append((1, -1, squeezed((b.ids[open_], new, text.tobytes(), np.packbits(done).tobytes(), lo, b.hi[part] - b.lo[part] + 1, entry + before))))
+        entries = np.flatnonzero(flag >= 2)
+        run = b.first[entries]
+        lo, size = b.lo[run], b.hi[run] - b.lo[run] + 1
+        hot = flag[entries] == 3
+        e, win = entries[~hot], np.zeros(int((~hot).sum()), np.int64)
+        at, many, docs = lo[~hot], size[~hot], b.smallest[e]
+        where = np.zeros(len(e), np.int64)
+        key = b.gram[e]
+        where[:] = key.astype(np.int64) % buckets
+        if hot.any():  # window by window, each in the bucket of its own bytes; equal ones of this block once
+            w_e = np.repeat(entries[hot], size[hot])
+            w_win = np.concatenate([np.arange(n) for n in size[hot].tolist()])
+            w_at = np.repeat(lo[hot], size[hot]) + w_win
+            bytes_of = [b.data[i : i + length].tobytes() for i in w_at.tolist()]
+            hashes = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") >> 1 for x in bytes_of], np.int64)
+            same = np.unique(np.frombuffer(b"".join(bytes_of), f"V{length}"), return_inverse=True)[1].ravel()  # equal bytes, not only hashes
+            order = np.lexsort((b.smallest[w_e], same))
+            lead = starts_of(same[order])
+            first = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+            later = b.smallest[w_e[order]] > b.smallest[w_e[first]]
+            gone = order[later]
+            if len(gone):
+                out.append((3, -1, squeezed((w_e[gone] + before, w_win[gone]))))
+            pick = order[~later]
+            e, win, at = np.append(e, w_e[pick]), np.append(win, w_win[pick]), np.append(at, w_at[pick])
+            many, docs, where = np.append(many, np.ones(len(pick), np.int64)), np.append(docs, b.smallest[w_e[pick]]), np.append(where, hashes[pick] % buckets)
+            key = np.append(key, (hashes[pick] >> 31).astype(np.uint32))
+        order = np.argsort(where, kind="stable")
+        edges = np.flatnonzero(np.append(True, np.diff(where[order]) != 0)).tolist() if len(order) else []
+        for s, t in zip(edges, [*edges[1:], len(order)], strict=True):
+            k = order[s:t]
+            text = b"".join(b.data[i : i + m + length - 1].tobytes() for i, m in zip(at[k].tolist(), many[k].tolist(), strict=True))
+            sent.append((int(where[k[0]]), ((e[k] + before).astype(np.uint32), win[k].astype(np.uint32), many[k].astype(np.uint32), docs[k], key[k], text)))
+    return out, sent
 
 
 def _sort_suffixes(batches, length: int):
-    """One bucket of window suffixes at a time: those whose bytes an earlier document has too, by block."""
+    """One bucket of window suffixes at a time: those whose bytes an earlier document has too, by pack. Equal windows have
+    equal keys (of the anchor, or of their bytes), so a bucket is sorted in slices of whole keys."""
     for _, rows in _runs(batches, 1):
         parts = [pickle.loads(loosened(data)) for _, data in rows]
-        many = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        text = np.concatenate([*(np.frombuffer(p[4], np.uint8) for p in parts), np.zeros(length + 16, np.uint8)])
+        packs = [pack for pack, _ in rows]
+        del rows
+        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        entry, win, many, docs, key = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        text = np.concatenate([*(np.frombuffer(p[5], np.uint8) for p in parts), np.zeros(length + 16, np.uint8)])
+        del parts
+        many = many.astype(np.int64)
         begin = np.cumsum(many + length - 1) - (many + length - 1)
-        item = np.repeat(np.arange(len(many)), many)
-        inner = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
-        order, group = sort_bucket(text, begin[item] + inner, length)
-        doc = np.concatenate([p[3] for p in parts])[item]
-        d = doc[order]
-        new = starts_of(group)
-        least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = np.zeros(len(item), bool)
-        hit[order] = d > least
-        entry = np.concatenate([p[0] for p in parts])[item]
-        window = np.concatenate([p[1] for p in parts]).astype(np.int64)[item] + inner
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])[item]
-        for k in np.unique(source[hit]).tolist():
-            own = hit & (source == k)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[k][0]]), pa.array([squeezed((entry[own], window[own].astype(np.int64)))], pa.binary())], ["block", "data"])
+        by = np.argsort(key, kind="stable")
+        hits = []
+        for s, t in slices_of(key[by], many[by], SLICE):
+            own = by[s:t]
+            n = many[own]
+            item = np.repeat(own, n)
+            inner = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+            order, group = sort_bucket(text, begin[item] + inner, length)
+            item, inner = item[order], inner[order]
+            d = docs[item]
+            new = starts_of(group)
+            hit = d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+            item, inner = item[hit], inner[hit]
+            hits.append((source[item], entry[item], win[item] + inner.astype(np.uint32)))
+        source, entry, win = (np.concatenate(c) for c in zip(*hits, strict=True))
+        order = np.argsort(source, kind="stable")
+        source, entry, win = source[order], entry[order], win[order]
+        edges = [*np.flatnonzero(starts_of(source)).tolist(), len(source)]
+        for s, t in zip(edges, edges[1:], strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array([packs[source[s]]]), pa.array([squeezed((entry[s:t], win[s:t]))], pa.binary())], ["pack", "data"])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("whole", pa.string())])
@@ -342,14 +463,15 @@ def _finish(batches, length: int, texts: bool):
     """The documents that were open, with the windows found for them."""
     for _, rows in _runs(batches, 1):
         got = [_loads(data) for tag, data in rows if tag == 0]
+        if got:
+            e, w = np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got]).astype(np.int64)
+            order = np.argsort(e, kind="stable")
+            e, w = e[order], w[order]
         for data in (data for tag, data in rows if tag == 1):
             ids, bounds, text, done, lo, size, entry = _loads(data)
             data = np.frombuffer(text, np.uint8)
             cover = np.unpackbits(np.frombuffer(done, np.uint8), count=len(data)).astype(bool)
             if got:
-                e, w = np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got])
-                order = np.argsort(e, kind="stable")
-                e, w = e[order], w[order]
                 a, z = np.searchsorted(e, entry), np.searchsorted(e, entry, side="right")
                 n = z - a
                 at = np.repeat(lo, n) + w[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -364,13 +486,13 @@ def _results(batches):
 
 
 def _flags(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
-    entries = blocks.select("block", "data").mapInArrow(partial(_entries, length=length, buckets=buckets), "bucket int, block string, data binary")
-    return cut(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "block string, bucket int, data binary"))
+    entries = blocks.select("pack", "data").mapInArrow(partial(_entries, length=length, buckets=buckets), "bucket int, pack string, data binary")
+    return cut(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "pack string, bucket int, data binary"))
 
 
 def _marked(blocks: DataFrame, flags: DataFrame, length: int, buckets: int, texts: bool) -> DataFrame:
-    both = flags.select("block", F.lit(0).alias("tag"), "bucket", "data").unionByName(blocks.select("block", F.lit(1).alias("tag"), F.lit(-1).alias("bucket"), "data"))
-    return cut(both.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_mark, length=length, buckets=buckets, texts=texts), "kind int, block string, bucket int, data binary"))
+    both = flags.select("pack", F.lit(0).alias("tag"), "bucket", "data").unionByName(blocks.select("pack", F.lit(1).alias("tag"), F.col("place").alias("bucket"), "data"))
+    return cut(both.repartition("pack").sortWithinPartitions("pack").mapInArrow(partial(_mark, length=length, buckets=buckets, texts=texts), "kind int, pack string, bucket int, data binary"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
@@ -388,19 +510,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     named = rows.where("doc_id is not null")
-    blocks = cut(named.mapInArrow(_pack_blocks, "block string, bytes bigint, data binary"))
+    blocks = cut(named.mapInArrow(_pack_blocks, "pack string, place int, bytes bigint, data binary"))
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(32, -(-size // BUCKET))
+    buckets = buckets_for(size)
     flags = _flags(blocks, length, buckets)
     marked = _marked(blocks, flags, length, buckets, texts)
     discard(blocks)
     discard(flags)
-    suffixes = marked.where("kind = 2").select("bucket", "block", "data").repartition("bucket").sortWithinPartitions("bucket")
-    found = suffixes.mapInArrow(partial(_sort_suffixes, length=length), "block string, data binary").select("block", F.lit(0).alias("tag"), "data")
-    local = marked.where("kind = 3").select("block", F.lit(0).alias("tag"), "data")
-    rest = found.unionByName(local).unionByName(marked.where("kind = 1").select("block", F.lit(1).alias("tag"), "data"))
+    suffixes = marked.where("kind = 2").select("bucket", "pack", "data").repartition("bucket").sortWithinPartitions("bucket")
+    found = suffixes.mapInArrow(partial(_sort_suffixes, length=length), "pack string, data binary").select("pack", F.lit(0).alias("tag"), "data")
+    local = marked.where("kind = 3").select("pack", F.lit(0).alias("tag"), "data")
+    rest = found.unionByName(local).unionByName(marked.where("kind = 1").select("pack", F.lit(1).alias("tag"), "data"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, whole string"
-    late = rest.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_finish, length=length, texts=texts), schema)
+    late = rest.repartition("pack").sortWithinPartitions("pack").mapInArrow(partial(_finish, length=length, texts=texts), schema)
     early = marked.where("kind = 0").select("data").mapInArrow(_results, schema)
     odd = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("string").alias("kept"), F.lit(None).cast("string").alias("whole"))
     return early.unionByName(late).unionByName(odd)

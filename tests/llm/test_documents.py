@@ -120,6 +120,68 @@ def test_repeated_rows_of_one_document_lose_the_same(spark, hot, monkeypatch):
     assert [r["text"] for r in rows(repeats.cut_repeats(docs))] == [three] + [rest[2] + "??" + rest[3]] * 3
 
 
+def removed_by_brute_force(texts):
+    first, want = {}, {}
+    for d in sorted(texts):
+        b = texts[d].encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first.setdefault(b[i : i + 50], d) < d:
+                gone[i : i + 50] = b"\1" * 50
+        want[d] = (len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return want
+
+
+def text_batch(texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], ["doc_id", "text"])
+
+
+def test_rows_sent_for_repeats_do_not_grow_with_the_square_of_the_text():
+    import pyarrow as pa
+
+    letters = np.random.default_rng(3).integers(97, 123, 16 << 20, dtype=np.uint8).tobytes().decode()
+    blocks = repeats._pack_blocks([text_batch({k: letters[k << 20 : k + 1 << 20] for k in range(16)})])
+    sent = repeats._entries([pa.RecordBatch.from_arrays([b.column(0), b.column("data")], ["pack", "data"]) for b in blocks], 50, -(-10**10 // repeats.BUCKET))
+    assert sum(b.num_rows for b in sent) < 100 * 16  # a MB, in a corpus of 10 GB
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeats_over_packs_blocks_and_slices(hot, monkeypatch):
+    import pyarrow as pa
+
+    for name, value in {"HOT": hot, "BLOCK": 2000, "PACK": 9000, "SLICE": 100}.items():
+        monkeypatch.setattr(repeats, name, value)
+    rng = np.random.default_rng(5)
+    phrases = ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(20, 70))) for _ in range(60)]
+    texts = {int(d): " ".join(phrases[k] for k in rng.integers(0, 60, rng.integers(0, 30))) for d in rng.permutation(200)}
+    half = len(texts) // 2
+    parts = [dict(list(texts.items())[:half]), dict(list(texts.items())[half:])]
+
+    def dealt(batches, key):
+        """All rows in one sorted partition, as the exchange gives them."""
+        table = pa.Table.from_batches(list(batches))
+        return table.sort_by(key).combine_chunks().to_batches()
+
+    def tagged(table, tag):
+        return table.add_column(1, "tag", pa.array([tag] * len(table), pa.int32()))
+
+    blocks = [list(repeats._pack_blocks([text_batch(p)])) for p in parts]
+    packed = pa.Table.from_batches(sum(blocks, []))
+    assert len(packed) > len(set(packed["pack"].to_pylist())) > 3
+    entries = [e for b in blocks for e in repeats._entries([x.select(["pack", "data"]) for x in b], 50, 7)]
+    flags = pa.Table.from_batches(list(repeats._shared(dealt(entries, "bucket"))))
+    both = pa.concat_tables([tagged(flags.select(["pack", "bucket", "data"]), 0), tagged(packed.select(["pack", "place", "data"]).rename_columns(["pack", "bucket", "data"]), 1)])
+    marked = pa.Table.from_batches(list(repeats._mark(dealt(both.to_batches(), "pack"), 50, 7, False)))
+    kind = {k: marked.filter(pa.compute.equal(marked["kind"], k)) for k in range(4)}
+    found = pa.Table.from_batches(list(repeats._sort_suffixes(dealt(kind[2].select(["bucket", "pack", "data"]).to_batches(), "bucket"), 50)))
+    late = pa.concat_tables([tagged(t.select(["pack", "data"]), tag) for t, tag in ((found, 0), (kind[3], 0), (kind[1], 1))])
+    done = [*repeats._results(kind[0].select(["data"]).to_batches()), *repeats._finish(dealt(late.to_batches(), "pack"), 50, False)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for b in done for r in b.to_pylist()}
+    assert got == removed_by_brute_force(texts) and len(kind[2]) and bool(len(kind[3])) == (hot == 2)
+
+
 def test_removed_characters_stay_whole(spark):
     shared = "ä" * 24 + "b"  # 49 bytes; with one byte of a two-byte neighbour it makes a string of 50
     docs = spark.createDataFrame([(1, shared + "é" + "1" * 60), (2, shared + "ê" + "2" * 60)], "doc_id bigint, text string")
