@@ -327,9 +327,16 @@ def _step(pack: str, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([pack] * len(rows)), pa.array(where, pa.int32()), pa.array(datas, pa.binary())], schema=_STEP)
 
 
-def _windows(pieces: dict) -> list:
-    """What the blocks of a pack send to be sorted, one row for each bucket."""
-    return [(2, where, squeezed((*(np.concatenate(c) for c in list(zip(*held, strict=True))[:5]), b"".join(p[5] for p in held)))) for where, held in sorted(pieces.items())]
+def _windows(sent: list) -> list:
+    """What the blocks of a pack send to be sorted, one row for each bucket. Takes what is in `sent`."""
+    columns = list(zip(*sent, strict=True))
+    sent.clear()
+    texts = [x for held in columns.pop() for x in held]
+    where = np.concatenate(columns.pop())
+    order = np.argsort(where, kind="stable")
+    where, columns = where[order], [np.concatenate(c)[order] for c in columns]
+    edges, order = np.append(np.flatnonzero(starts_of(where)), len(where)).tolist(), order.tolist()
+    return [(2, int(where[s]), squeezed((*(c[s:t] for c in columns), b"".join([texts[i] for i in order[s:t]])))) for s, t in zip(edges, edges[1:], strict=False)]
 
 
 def _mark(batches, length: int, buckets: int, texts: bool):
@@ -340,7 +347,7 @@ def _mark(batches, length: int, buckets: int, texts: bool):
         blocks = sorted((place, data) for tag, place, data in rows if tag == 1)
         del rows
         passed = dict.fromkeys(flags, 0)
-        before, pieces, waiting = 0, {}, 0
+        before, sent, waiting = 0, [], 0
         for _, data in blocks:
             b = Block(*pickle.loads(loosened(data)), length, buckets)
             flag = np.zeros(len(b.first), np.uint8)
@@ -349,27 +356,27 @@ def _mark(batches, length: int, buckets: int, texts: bool):
                 if k in flags:
                     flag[b.order[s:t]] = flags[k][passed[k] : passed[k] + t - s]
                     passed[k] += t - s
-            out, sent = _mark_block(b, flag, before, length, buckets, texts)
+            out, own = _mark_block(b, flag, before, length, buckets, texts)
             before += len(b.first)
             yield _step(pack, out)
-            for where, piece in sent:
-                pieces.setdefault(where, []).append(piece)
-                waiting += len(piece[5])
+            if own:
+                sent.append(own)
+                waiting += sum(map(len, own[-1]))
             if waiting > PACK:
-                yield _step(pack, _windows(pieces))
-                pieces, waiting = {}, 0
-        if pieces:
-            yield _step(pack, _windows(pieces))
+                yield _step(pack, _windows(sent))
+                waiting = 0
+        if sent:
+            yield _step(pack, _windows(sent))
 
 
-def _mark_block(b: Block, flag: np.ndarray, before: int, length: int, buckets: int, texts: bool) -> tuple[list, list]:
+def _mark_block(b: Block, flag: np.ndarray, before: int, length: int, buckets: int, texts: bool) -> tuple[list, tuple]:
     own, of_doc = flag[b.entry], b.ids[b.doc]
     full = (own == 1) | (of_doc > b.smallest[b.entry])
     part = (own >= 2) & (of_doc == b.smallest[b.entry])
     cover = _cover(len(b.data), b.lo[full], b.hi[full], length)
     pending = np.zeros(len(b.ids), bool)
     pending[b.doc[part]] = True
-    out, sent = [(0, -1, squeezed(_digest(b.ids, b.bounds, b.data, cover, np.flatnonzero(~pending).tolist(), texts)))], []
+    out, sent = [(0, -1, squeezed(_digest(b.ids, b.bounds, b.data, cover, np.flatnonzero(~pending).tolist(), texts)))], ()
     if pending.any():
         open_ = np.flatnonzero(pending).tolist()
         shift = np.zeros(len(b.ids), np.int64)
@@ -408,12 +415,9 @@ def _mark_block(b: Block, flag: np.ndarray, before: int, length: int, buckets: i
             e, win, at = np.append(e, w_e[pick]), np.append(win, w_win[pick]), np.append(at, w_at[pick])
             many, docs, where = np.append(many, np.ones(len(pick), np.int64)), np.append(docs, b.smallest[w_e[pick]]), np.append(where, hashes[pick] % buckets)
             key = np.append(key, (hashes[pick] >> 31).astype(np.uint32))
-        order = np.argsort(where, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(where[order]) != 0)).tolist() if len(order) else []
-        for s, t in zip(edges, [*edges[1:], len(order)], strict=True):
-            k = order[s:t]
-            text = b"".join(b.data[i : i + m + length - 1].tobytes() for i, m in zip(at[k].tolist(), many[k].tolist(), strict=True))
-            sent.append((int(where[k[0]]), ((e[k] + before).astype(np.uint32), win[k].astype(np.uint32), many[k].astype(np.uint32), docs[k], key[k], text)))
+        if len(e):
+            windows = [b.data[i : i + m + length - 1].tobytes() for i, m in zip(at.tolist(), many.tolist(), strict=True)]
+            sent = ((e + before).astype(np.uint32), win.astype(np.uint32), many.astype(np.uint32), docs, key, where, windows)
     return out, sent
 
 
