@@ -13,7 +13,7 @@ import numpy as np
 from edgeloom.llm.bytewords import mix64
 
 #: slots of a hash table; longest word that is folded beside others; words folded together
-_SLOTS, _SIDE, _AT_ONCE = 1 << 20, 64, 25_000
+_SLOTS, _SIDE, _AT_ONCE = 1 << 20, 64, 8_000
 
 
 def _hash(codes: np.ndarray, before: np.ndarray | None) -> np.ndarray:
@@ -253,29 +253,18 @@ class Lattice:
 
 
 class Remembered:
-    """The ids of keys (words, or what `parts` splits into words), learnt a slice of texts at a time; at most `most` keys
-    are held, and which are changes nothing."""
+    """The ids of words, learnt a slice of texts at a time; at most `most` words are held, and which are changes nothing."""
 
-    def __init__(self, lattice: Lattice, most: int, parts=None):
-        self.lattice, self.most, self.parts, self.known = lattice, most, parts, {}
+    def __init__(self, lattice: Lattice, most: int):
+        self.lattice, self.most, self.known = lattice, most, {}
 
     def __call__(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each list of keys."""
+        """The ids of each list of words."""
         every = set().union(*lists)
         new = list(every.difference(self.known))
         if new:
             if len(self.known) + len(new) > self.most:
                 self.known = {k: self.known[k] for k in every.intersection(self.known)}  # what this slice uses again
-            self._learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, keys)), np.uint32) for keys in lists]
-
-    def _learn(self, new: list[str]) -> None:
-        if not self.parts:
             self.known.update(self.lattice.segment(new))
-            return
-        whole, split = self.parts(new)
-        found = self.lattice.segment(list({*whole, *(w for words in split.values() for w in words)}.difference(self.known)))
-        self.known.update((w, found[w]) for w in whole)
-        for key, words in split.items():
-            self.known[key] = b"".join([found[w] if w in found else self.known[w] for w in words])
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in lists]

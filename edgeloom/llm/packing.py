@@ -11,7 +11,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import cut, rows_by_bytes, text_of
-from edgeloom.llm.lattice import Lattice, Remembered
+from edgeloom.llm.lattice import Lattice
+from edgeloom.llm.wordtable import WordTable
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -30,7 +31,6 @@ END = "</w>"
 
 _SAFE = re.compile("[^\\s!-~¡-¬®-ÿŒœ–—‘’“”…€]", re.A)
 _ODD = re.compile("[ªº²³¹¼½¾İ\x1c-\x1f]")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class _ByteLattice(Lattice):
@@ -61,12 +61,10 @@ class Ids:
     go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         import json
 
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = _byte_letters()
@@ -79,12 +77,13 @@ class Ids:
         ids = {symbols(t): i for t, i in model["vocab"].items() if t.removesuffix(END) and all(c in letters for c in t.removesuffix(END))}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         merges = {(model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.keys = Remembered(_ByteLattice(ids, merges, _bytes_of), most, self.split)
+        self.words = WordTable(_ByteLattice(ids, merges, _bytes_of).segment, most)
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
 
-    @staticmethod
-    def split(keys: list[str]) -> tuple[list[str], dict[str, list[str]]]:
-        """Keys have no white space. Those that are one word; and the words of all others."""
-        return [k for k in keys if k.isalpha()], {k: _WORDS.findall(k) for k in keys if not k.isalpha()}
+        return Tokenizer.from_file(self.path)
 
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -92,7 +91,7 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. The words that are new to all of them are learnt at once."""
         whole = [not t.isascii() and bool(_SAFE.search(t)) or "<|" in t or bool(_ODD.search(t)) for t in texts]
-        found = self.keys([[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)])
+        found = self.words([b"" if w else t.lower().encode() for t, w in zip(texts, whole, strict=True)])
         return [self.direct(t) if w else ids for t, w, ids in zip(texts, whole, found, strict=True)]
 
 

@@ -362,6 +362,36 @@ def test_packing_of_odd_rows(documents, empty):
     assert sum(r["doc_id"] == 1 for r in got) == 2 and [r["length"] for r in got if r["doc_id"] in (4, 5)] == [1, 1] and sum(r["doc_id"] == 8 for r in got) > 1 and packing.pack(empty).count() == 0
 
 
+def test_words_in_bytes_are_those_of_the_pattern():
+    from edgeloom.llm import wordtable
+
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    rng = np.random.default_rng(11)
+    letters = np.array(list("''srtvelmd_.0 aé×÷µßœ–…€\n\t\x0b¡\x00\x7f"))
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, int(rng.integers(0, 15))).tolist())
+        raw = text.encode() + b"\n"
+        start, size = wordtable.word_bounds(np.frombuffer(raw, np.uint8))
+        assert [raw[s : s + n].decode() for s, n in zip(start.tolist(), size.tolist(), strict=True)] == [w for k in text.split() for w in pattern.findall(k)]
+
+
+def test_ids_by_a_table_of_words_that_forgets():
+    import public_tokenizers
+
+    from edgeloom.llm import wordtable
+
+    own = packing.Ids(public_tokenizers.path("word_bpe_49k.json"), most=300)
+    own.words.most_ids = 1000
+    rng = np.random.default_rng(12)
+    letters = np.array(list("''srtvelmd_.0 aé×÷µßœ–…€ABCÉstion\x00\n  日"))
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 90))).tolist()) + "x" * k for k in range(80)]
+    texts += ["a" * 70_000 + " " + "-" * 5000, "", "b" * 15 + "\0 " + "b" * 15 + " " + "b" * 16, "".join(rng.choice(list("etaoinsh "), 900_000).tolist())]
+    for at in range(0, len(texts), 30):
+        for text, ids in zip(texts[at : at + 30], own(texts[at : at + 30]), strict=True):
+            assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert 0 < own.words.count <= wordtable.AT_ONCE
+
+
 def test_fullest_combination():
     import itertools
 
