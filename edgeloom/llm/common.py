@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,8 +21,17 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def trim() -> None:
+    """Freed memory goes back to the system: a Python worker serves many tasks and would keep the most that one of them took."""
+    pa.default_memory_pool().release_unused()
+    of_libc = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if of_libc:
+        of_libc(0)
+
+
 def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20, rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of at most `rows` rows whose texts hold about `most` bytes, one row at least."""
+    """The batches cut into slices of at most `rows` rows whose texts hold about `most` bytes, one row at least. Memory is
+    trimmed after the last."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start, held = 0, 0
@@ -33,6 +43,7 @@ def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
             held += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()
 
 
 def mapped(df: DataFrame, function: Callable, schema: str, **kept) -> DataFrame:

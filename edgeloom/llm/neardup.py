@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import _LOWER, hash_words, mix64, shingles
-from edgeloom.llm.common import cut, mapped, text_of
+from edgeloom.llm.common import cut, mapped, text_of, trim
 
 ROWS, BANDS = 5, 32
 #: of the bitmap in which each shingle flips one bit: two bitmaps never differ in more bits than the sets in shingles
@@ -24,6 +24,8 @@ BITS = 1024
 BLOCK = 1024
 #: documents that one task compares with one other at a time
 CHUNK = 64
+#: edges for which components are written to one file
+EDGES = 20_000
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -75,14 +77,14 @@ def _sign(part: pa.RecordBatch, width: int) -> dict:
     return {"doc_id": part.column(0).to_pylist(), "n": n, "key": keys, "bits": bits, "bands": list(found)}
 
 
-def _to_roots(step: DataFrame) -> DataFrame:
+def _to_roots(step: DataFrame, files: int) -> DataFrame:
     """(id, to) with every pointer followed to its end, which points to itself; pointers double, so depth takes its logarithm."""
     while True:
         further = step.select("to").distinct().join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").where("next <> to")
-        further = cut(further)
+        further = cut(further, files)
         if further.isEmpty():
             return step
-        step = cut(step.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+        step = cut(step.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")), files)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,21 +92,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every vertex points to the smallest in its neighbourhood, pointers are followed to their ends, and the
     edges are contracted to what is left: at most half of the vertices, so rounds are logarithmic for chains as for
-    stars. All rows stay in Spark; the driver only asks whether any edge or pointer is left.
+    stars. All rows stay in Spark; the driver asks for the number of edges, and whether any edge or pointer is left.
+    What the rounds write goes to a file for each EDGES edges, whatever the number of shuffle partitions.
     """
     labels: DataFrame | None = None
     left = cut(edges.select("a", "b").where("a <> b").distinct())
+    files = 1 + left.count() // EDGES
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("id"), "to"))
-        step = _to_roots(step)
+        step = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("id"), "to"), files)
+        step = _to_roots(step, files)
         if labels is None:
             labels = step.select("id", F.col("to").alias("component"))
         else:
             labels = labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
+        labels = cut(labels, files)
         ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("na")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("nb")), "b")
-        left = cut(ends.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a <> b").distinct())
+        left = cut(ends.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a <> b").distinct(), files)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     return labels
@@ -130,6 +134,7 @@ def _verify(batches, width: int, percent: int):
                 a_out.append(a)
                 b_out.append(other)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+    trim()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -179,6 +184,7 @@ def _close_pairs(batches, percent: int):
             held.append(row[3:])
     if held:
         yield pairs()
+    trim()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -228,7 +228,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     pieces = cut(texts.mapInArrow(partial(_pieces, path=path, capacity=capacity), schema))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = cut(counts.withColumn("base", before))
+    bases = cut(counts.withColumn("base", before), 1 + pieces.rdd.getNumPartitions() // 16)  # rows: at most `capacity` a partition
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     ranked = pieces.join(bases.select("part", "length", "base"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     out = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import hash_words
-from edgeloom.llm.common import mapped, text_of
+from edgeloom.llm.common import mapped, rows_by_bytes, text_of
 
 HASHED = 1024
 STATS = 20
@@ -174,21 +174,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
     return mapped(texts, partial(_score_rows, model=model), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def score_column(texts: pa.Array, model: dict) -> pa.Array:
+    """The scores of texts, by about 1 MB of them, so that memory follows no batch size."""
+    parts = rows_by_bytes([pa.RecordBatch.from_arrays([texts], ["text"])])
+    return pa.array(np.concatenate([np.zeros(0), *(scores(model, _raw(part)) for part in parts)]))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose text is predicted to be good."""
     model = train(docs, labels, most)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        raw = [t.encode() for t in texts]
-        out, at, held = np.zeros(len(raw)), 0, 0
-        for i, t in enumerate(raw):  # by a few MB and rows, so that memory follows no batch size
-            held += len(t)
-            if held > 4 << 20 or i - at >= 2500 or i == len(raw) - 1:
-                out[at : i + 1] = scores(model, raw[at : i + 1])
-                at, held = i + 1, 0
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return score_column(texts, model)
 
     return docs.where(score(text_of()) >= THRESHOLD)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import _BYTE, _P, _PINV, mix64, powers
-from edgeloom.llm.common import cut, discard, rows_by_bytes, text_of
+from edgeloom.llm.common import cut, discard, rows_by_bytes, text_of, trim
 from edgeloom.llm.suffixes import sort_bucket
 
 LENGTH = 50
@@ -207,10 +207,11 @@ def _entries(batches, length: int, buckets: int):
                 held.append((np.repeat(b.buckets.astype(np.int32), np.diff(b.edges)), b.gram[b.order], b.around[b.order], b.smallest[b.order]))
     if held:
         yield _sent(current, held)
+    trim()
 
 
 def _runs(batches, keys: int):
-    """(key, [rows]) of batches sorted by their first `keys` columns."""
+    """(key, [rows]) of batches sorted by their first `keys` columns. Memory is trimmed after the last."""
     current, held = None, []
     for batch in batches:
         columns = [c.to_pylist() if not pa.types.is_binary(c.type) else c for c in batch.columns]
@@ -223,6 +224,8 @@ def _runs(batches, keys: int):
             held.append([x.as_buffer().to_pybytes() if isinstance(x, pa.BinaryScalar) else x for x in row[keys:]])
     if held:
         yield current, held
+    del held
+    trim()
 
 
 def starts_of(*columns: np.ndarray) -> np.ndarray:

@@ -319,8 +319,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every secret in `text` replaced by [secret]; null texts stay null, all other columns stay."""
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(redact, na_action="ignore")
+    from edgeloom.llm.common import rows_by_bytes
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        parts = rows_by_bytes([pa.RecordBatch.from_arrays([texts], ["text"])])  # so that memory follows no batch size
+        done = [pa.array([t if t is None else redact(t) for t in part.column(0).to_pylist()], pa.string()) for part in parts]
+        return pa.concat_arrays([pa.array([], pa.string()), *done])
 
     return docs.withColumn(text, clean(F.col(text)))

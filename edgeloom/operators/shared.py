@@ -28,9 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder; its lineage ends there, and its shuffle files are removed."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df, written to the shared checkpoint folder; its lineage ends there, and its shuffle files are removed.
+
+    files: at most so many are written. Give it where few rows are known to lie in many partitions: on a local file system
+    the JVM starts processes for each file, and memory is counted twice while it does.
+    """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     shared_folder(spark)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")

@@ -68,6 +68,19 @@ def test_a_chain_is_one_component(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_of_few_edges_are_written_to_few_files(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("30", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = neardup.components(spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (30, 20), (20, 10)], "a bigint, b bigint"))
+        assert found.rdd.getNumPartitions() == 1
+        assert {r["id"]: r["component"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 10, 20: 10, 30: 10}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
@@ -467,6 +480,34 @@ def test_quality(spark, sf, texts):
     assert sum(a > b for a in good for b in bad) >= 0.8 * len(good) * len(bad)
 
 
+def test_scores_of_a_column_follow_no_batch_size(monkeypatch):
+    import pyarrow as pa
+
+    texts, seen = [f"Text {k} " * 150 for k in range(6000)], []
+    monkeypatch.setattr(quality, "scores", lambda _, raw: seen.append(sum(map(len, raw))) or np.arange(len(raw)) / 10_000)
+    assert len(quality.score_column(pa.array(texts), {})) == 6000 and len(quality.score_column(pa.array([], pa.string()), {})) == 0
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= (1 << 20) + 2000
+
+
+def test_slices_give_freed_memory_back():
+    import pyarrow as pa
+
+    from edgeloom.llm.common import rows_by_bytes
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a", "b"]})
+    pinned = []
+    for _ in rows_by_bytes([batch]):
+        held = [bytes(100_000) for _ in range(3000)]
+        pinned.append(bytes(100_000))  # what lies above keeps the freed memory from going back by itself
+        high = resident()
+        del held
+    assert pinned and resident() < high - 200
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     x, v = rng.normal(size=(3, 6)).astype(np.float32), rng.normal(size=(6, 2)).astype(np.float32)
