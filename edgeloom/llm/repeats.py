@@ -24,7 +24,7 @@ from edgeloom.llm.suffixes import sort_bucket
 
 LENGTH = 50
 BLOCK = 3 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: bytes of text whose blocks send their entries together, and for which there is one bucket
 PACK = 16 << 20
 BUCKET = 8 << 20
@@ -70,7 +70,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: lo, hi (window starts, both included), gram (hash of the anchor), around (hash of
     the bytes that the windows cover). Windows lie within the texts that `bounds` separates."""
-    gram = min(_GRAM, length)
+    gram, chunk = min(_GRAM, length), max(CHUNK, 1 << (4 * length).bit_length())
     span = length - gram + 1
     out: dict[str, list] = {k: [] for k in ("lo", "hi", "gram", "around")}
     n = len(data)
@@ -78,8 +78,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> dict[str, np.n
     np.add.at(crossing, np.maximum(bounds[:-1], bounds[1:] - length + 1), 1)
     np.add.at(crossing, bounds[1:], -1)
     valid = np.cumsum(crossing[:n]) == 0
-    for c0 in range(0, max(0, n - length + 1), CHUNK - length):
-        m = min(CHUNK - length, n - length + 1 - c0)
+    for c0 in range(0, max(0, n - length + 1), chunk - length):
+        m = min(chunk - length, n - length + 1 - c0)
         piece = data[c0 : c0 + m + length - 1]
         ok = np.flatnonzero(valid[c0 : c0 + m])
         if not len(ok):
@@ -94,18 +94,18 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> dict[str, np.n
         else:
             h = u[:g] & np.uint64((1 << 8 * gram) - 1)
         h = mix64(h)
-        low = h & ~np.uint64(CHUNK - 1) | np.arange(g, dtype=np.uint64)
+        low = h & ~np.uint64(chunk - 1) | np.arange(g, dtype=np.uint64)
         width = 1
         while 2 * width <= span:  # low: the minimum of `width` grams from each
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[:m], low[span - width : span - width + m])
-        at = (low & np.uint64(CHUNK - 1)).astype(np.int64)[ok]
+        at = (low & np.uint64(chunk - 1)).astype(np.int64)[ok]
         new = np.ones(len(ok), bool)
         new[1:] = (np.diff(ok) != 1) | (np.diff(at) != 0)
         first = np.flatnonzero(new)
         lo, hi = ok[first], ok[np.append(first[1:], len(ok)) - 1]
-        p, q = _powers(CHUNK)
+        p, q = _powers(chunk)
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_BYTE[piece] * p[: len(piece)], out=total[1:])
         around = mix64((total[hi + length] - total[lo]) * q[lo] + (hi - lo).astype(np.uint64))
@@ -205,6 +205,8 @@ def _entries(batches, length: int, buckets: int):
             b = Block(*pickle.loads(loosened(data.as_buffer().to_pybytes())), length, buckets)
             if len(b.order):
                 held.append((np.repeat(b.buckets.astype(np.int32), np.diff(b.edges)), b.gram[b.order], b.around[b.order], b.smallest[b.order]))
+            del b
+            trim()  # the next block's work and _sent would take more beside it
     if held:
         yield _sent(current, held)
     trim()
@@ -362,6 +364,8 @@ def _mark(batches, length: int, buckets: int, texts: bool):
             out, own = _mark_block(b, flag, before, length, buckets, texts)
             before += len(b.first)
             yield _step(pack, out)
+            del b, flag
+            trim()
             if own:
                 sent.append(own)
                 waiting += sum(map(len, own[-1]))

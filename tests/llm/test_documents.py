@@ -508,6 +508,20 @@ def test_slices_give_freed_memory_back():
     assert pinned and resident() < high - 200
 
 
+def test_anchors_take_little_memory_and_long_strings():
+    import tracemalloc
+
+    data = np.random.default_rng(3).integers(97, 123, 3 << 20, dtype=np.uint8)
+    repeats._held.clear()
+    tracemalloc.start()
+    try:
+        repeats.anchors(data, np.array([0, 1 << 20, 3 << 20]), 50)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    assert len(repeats.anchors(data, np.array([0, 1 << 20, 3 << 20]), 200_000)["lo"])
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     x, v = rng.normal(size=(3, 6)).astype(np.float32), rng.normal(size=(6, 2)).astype(np.float32)
