@@ -48,6 +48,20 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
             spark.conf.set(_CLEAN, before)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by columns to four tasks a core at least. For rows of few bytes and much work: Spark reads a small file
+    as one partition, and joins small partitions to one."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
+def dealt(df: DataFrame, *columns: str, each: int = 2 << 20) -> DataFrame:
+    """df dealt out by columns to as many tasks as keep each at about `each` bytes of what is read, by Spark's estimate."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, min(1 << 14, -(-size // each))), *columns)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what cut(df) wrote. Call it on a frame that nothing will read again."""
     spark = df.sparkSession
