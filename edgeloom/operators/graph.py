@@ -125,15 +125,18 @@ def broken(links: DataFrame, names: DataFrame, target: str = "dst") -> DataFrame
     return keyed.join(names.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
-def dead_ends(edges: DataFrame, names: DataFrame) -> DataFrame:
+def dead_ends(edges: DataFrame, names: DataFrame, **lists: Column) -> DataFrame:
     """target, n_edges, sources, types, endpoints, provenance: what no page answers to, from distinct edges(page, dst,
-    type, endpoint, provenance). Sets are sorted."""
-    e = broken(edges, names).select(T.strip_wikilink("dst").alias("target"), F.col("page").alias("source"), "type", "endpoint", "provenance").where("target <> ''").distinct()
+    type, endpoint, provenance). Sets are sorted. lists: further sorted sets, of expressions over an edge(target, source,
+    type, endpoint, provenance). Edges are counted by target first, as names are compared once a target then."""
+    e = edges.select(T.strip_wikilink("dst").alias("target"), F.col("page").alias("source"), "type", "endpoint", "provenance").where("target <> ''").distinct()
 
     def values(c: str):
         return F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
 
-    return e.groupBy("target").agg(F.count("*").alias("n_edges"), *(values(c).alias(n) for c, n in (("source", "sources"), ("type", "types"), ("endpoint", "endpoints"), ("provenance", "provenance"))))
+    sets = (values(c).alias(n) for c, n in (("source", "sources"), ("type", "types"), ("endpoint", "endpoints"), ("provenance", "provenance")))
+    counted = e.groupBy("target").agg(F.count("*").alias("n_edges"), *sets, *(F.array_sort(F.collect_set(c)).alias(n) for n, c in lists.items()))
+    return broken(counted, names, "target")
 
 
 def served_edges(edges: DataFrame, names: DataFrame, titles: DataFrame) -> DataFrame:

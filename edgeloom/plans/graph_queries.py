@@ -197,9 +197,8 @@ def deferred_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select 'external/' || regexp_replace(regexp_replace(lower(replace(target, '  ‐ ', '-')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.md' as path, target, n_edges from (" + _LINKS + "select target, count(distinct (page, type, endpoint, provenance)) n_edges from links where k not in (select k from small) group by 1)")
 def stub_pages(spark: SparkSession, sf: str) -> DataFrame:
-    links, names = part_links(spark, sf), graph.page_names(part_pages(spark, sf))
-    e = graph.broken(links, names).select(T.strip_wikilink("dst").alias("target"), F.col("page").alias("source"), "type", "endpoint", "provenance")
-    return generated.stub_pages(graph.dead_ends(links, names), e, "2024-01-01").select("path", "target", "n_edges")
+    dead = graph.dead_ends(part_links(spark, sf), graph.page_names(part_pages(spark, sf)), rows=generated.edge_row())
+    return generated.stub_pages(dead, None, "2024-01-01").select("path", "target", "n_edges")
 
 
 @query("""with n as (select 's' || s_suppkey as name from supplier), p as (select 's' || l_suppkey page, 's' || (l_partkey % 100) target, l_returnflag as type, 'f' || l_linenumber provenance from lineitem)
