@@ -59,6 +59,8 @@ def dealt(df: DataFrame, *columns: str, each: int = 2 << 20) -> DataFrame:
     """df dealt out by columns to as many tasks as keep each at about `each` bytes of what is read, by Spark's estimate."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not known, as of rows that came from Python or a checkpoint
+        size = each * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(spark.sparkContext.defaultParallelism, min(1 << 14, -(-size // each))), *columns)
 
 
